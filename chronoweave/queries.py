@@ -76,7 +76,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTC instants of the timestamps that are not in the canonical notation yet."""
     facts = timestamps.long_form(load(spark, sf_dir, "extracted_fact"), "extracted_fact", "fact_id", ["valid_at", "invalid_at"], "client_zone", "client_locale")
     episodes = timestamps.long_form(load(spark, sf_dir, "episode"), "episode", "uuid", ["reference_time"], "client_zone", "client_locale")
-    values = facts.unionByName(episodes).where(~F.col("value").rlike(timestamps.CANONICAL)).distinct()
+    values = facts.unionByName(episodes).where(~F.col("value").rlike(timestamps.CANONICAL))
     return timestamps.normalise(values).where("utc_us is not null").select("tbl", "record_key", "field", "utc_us").distinct()
 
 
