@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import components, neighbours
+from chronoweave.llm import components, names, neighbours
 from chronoweave.sources.tables import bare_key, load
 
 
@@ -48,5 +48,23 @@ reach(id, other) as (select a, a from both_ways union select r.id, e.b from reac
 select min(other) as component_uuid, id as uuid from reach group by id
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+def _name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity, alias = load(spark, sf_dir, "entity"), load(spark, sf_dir, "entity_alias")
+    owner = bare_key(F.col("entity_uuid"), "entity")
+    row = lambda df, role, rec, surface: df.select(F.lit(role).alias("role"), rec.alias("rec"), F.col("group_id").alias("grp"), surface.alias("surface"))
+    surfaces = [
+        row(entity, "name", F.col("uuid"), F.col("name")),
+        row(entity.withColumn("other", F.explode("aliases")), "known", F.col("uuid"), F.col("other")),
+        row(alias.where(owner.isNull()), "name", F.col("uuid"), F.col("alias")),
+        row(alias.where(owner.isNotNull()), "known", owner, F.col("alias")),
+    ]
+    return names.link_variants(reduce(DataFrame.unionByName, surfaces), load(spark, sf_dir, "name_lexicon"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entities and unresolved aliases of one group that denote the same person or organisation."""
+    return names.record_pairs(_name_clusters(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found}
 ORACLE = {"p1_found": _P1_SQL, "p2_found": _P2_SQL}
