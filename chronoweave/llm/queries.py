@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import components, names, neighbours
+from chronoweave.llm import components, mixing, names, neighbours, packing, residue
 from chronoweave.sources.tables import bare_key, load
 
 
@@ -66,5 +66,30 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.record_pairs(_name_clusters(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found}
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of every pack spec, filled with all documents."""
+    return packing.pack_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_spec"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and their fill per pack spec."""
+    return packing.fill_report(p8_packed(spark, sf_dir), load(spark, sf_dir, "pack_spec"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document in a mixture with the target shares."""
+    return mixing.mix_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of the mixture's sources."""
+    return mixing.mix_report(p9_mix(spark, sf_dir), load(spark, sf_dir, "mix_target"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of template residue, filler, error pages and script notices."""
+    return residue.residue_documents(load(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
 ORACLE = {"p1_found": _P1_SQL, "p2_found": _P2_SQL}
