@@ -8,7 +8,8 @@ the documents that returns a total per domain, and a rate is recomputed from the
 before, so no rates are stored. Rates are clipped to 0 and to the source's cap of repetitions.
 
 Labels tell more than the text where both exist, so the last rounds measure real tokens per source instead
-of expected ones; copies are whole numbers by rounding with a hash of the id.
+of expected ones; copies are whole numbers by rounding with a hash of the id, shifted per source so that the
+whole copies reach the target too.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from chronoweave.llm.tokens import VOCABULARY, encoder
 from chronoweave.plans.scratch import Scratch
 
 _WORD = re.compile(r"\w+")
+_GRID = 33
 
 
 @dataclass(frozen=True)
@@ -173,11 +175,38 @@ def mix_documents(documents: DataFrame, targets: DataFrame, id_col: str = "doc_i
             break
         hard.append(np.where(now > 0, goal / np.maximum(now, 1e-9), 1.0))
 
+    def copies(pdf: pd.DataFrame, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates, and whole copies for each shift (a column each); more shift, never fewer copies."""
+        r = rate_of(pdf)
+        u = np.array([xxhash.xxh3_64_intdigest(str(d)) / 2**64 for d in pdf["doc_id"]])
+        cap = pdf["source"].map(cap_of).to_numpy(float)
+        return r, np.clip(np.floor((r + u)[:, None] + shift[pdf["source"].map(number).to_numpy(int)]), 0, np.where(r > 0, cap, 0)[:, None])
+
+    # Rounding moves the totals of small sources; a shift per source that brings them back is bracketed twice.
+    low, high = np.full(k, -0.5), np.full(k, 0.5)
+    for _ in range(2):
+        grid = np.linspace(low, high, _GRID, axis=1)
+
+        def rounded(batches: Iterator[pd.DataFrame], grid: np.ndarray = grid) -> Iterator[pd.DataFrame]:
+            got = np.zeros((k, _GRID))
+            for pdf in batches:
+                if len(pdf):
+                    np.add.at(got, pdf["source"].map(number).to_numpy(int), copies(pdf, grid)[1] * pdf["n_tokens"].to_numpy(float)[:, None])
+            s, g = np.indices(got.shape)
+            yield pd.DataFrame({"s": s.ravel(), "g": g.ravel(), "n": got.ravel()})
+
+        got = np.zeros((k, _GRID))
+        for row in docs.mapInPandas(rounded, "s int, g int, n double").groupBy("s", "g").agg(F.sum("n").alias("n")).collect():
+            got[row.s, row.g] = row.n
+        best = np.abs(got - goal[:, None]).argmin(1)
+        at = np.arange(k)
+        low, high = grid[at, np.maximum(best - 1, 0)], grid[at, np.minimum(best + 1, _GRID - 1)]
+    shift = grid[at, best][:, None]
+
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            r = rate_of(pdf)
-            u = np.array([xxhash.xxh3_64_intdigest(str(d)) / 2**64 for d in pdf["doc_id"]])
-            out = pdf[["doc_id", "source", "n_tokens"]].assign(rate=r, copies=np.floor(r + u).astype("i4"))
+            r, whole = copies(pdf, shift)
+            out = pdf[["doc_id", "source", "n_tokens"]].assign(rate=r, copies=whole[:, 0].astype("i4"))
             yield out[out["copies"] > 0]
 
     return docs.mapInPandas(finish, used)
