@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave import graph_queries
 from chronoweave.operators import intervals, references, timestamps
 from chronoweave.sources.tables import bare_key, load, trimmed
 
@@ -80,8 +81,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.normalise(values).where("utc_us is not null").select("tbl", "record_key", "field", "utc_us").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found}
-ORACLE = {
+QUERIES = graph_queries.QUERIES | {"p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found}
+ORACLE = graph_queries.ORACLE | {
     "p3_found": _P3_SQL,
     "p4_found": _P4_CTE + "select * from found",
     "p4_report": _P4_CTE + "select tbl, field, reason, ref_month, count(*) as n_refs, count(distinct ref_uuid) as n_keys from found group by all",
