@@ -52,15 +52,15 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self._tables = 0
         _OPEN.append((spark, self.path))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return the table read back; its lineage ends at the files."""
-        path = f"{self.path}/{len(self._paths)}"
+        path = f"{self.path}/{self._tables}"
+        self._tables += 1
         df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
         back._chronoweave_path = path
         return back
 
