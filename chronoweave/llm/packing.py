@@ -109,7 +109,7 @@ def pack_documents(documents: DataFrame, specs: DataFrame, id_col: str = "doc_id
         pdf = pdf.sort_values("doc_id")
         ids, sizes = pdf["doc_id"].tolist(), pdf["n_tokens"].tolist()
         for spec, capacity, separator in wanted:
-            base = key[0] << 40
+            base = int(key[0]) << 40
             out, items = [], []  # items: (document, part, from, to) that share containers
             for d, n in enumerate(sizes):
                 full = n // capacity if n > capacity else 0
