@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import decay as D
+from chronoweave.functions import extract
 from chronoweave.functions import text as T
 from chronoweave.functions import vectors as V
 from chronoweave.operators import cognition as C
@@ -18,6 +19,7 @@ from chronoweave.operators import predicates as P
 from chronoweave.operators import resolution as R
 from chronoweave.operators import retrieval as S
 from chronoweave.operators import state as W
+from chronoweave.plans.memory import MemoryGraph
 from chronoweave.sources import model as M
 from chronoweave.sources import packs
 from chronoweave.sources.tables import load
@@ -562,6 +564,8 @@ def debounce_batches(spark, d):
 # Resolution
 
 
+#: Whether key k is one of the phrases of up to three words of the query q.k.
+_GRAM = "k in (select array_to_string(w[i:i + n - 1], ' ') from (select string_split(q.k, ' ') as w), range(1, 10) r(i), (values (1), (2), (3)) t(n) where i + n - 1 <= len(w))"
 _NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s''-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -734,6 +738,19 @@ def unprocessed_episodes(spark, d):
     return M.episodes(spark, d).where("ingestion_complete and cognition_processed_at is null").select("uuid", "group_id")
 
 
+@query("ep", r"select uuid, array_to_string(list_filter(l, lambda p, i: list_position(l, p) = i), '|') as phrases from (select uuid, regexp_extract_all(content, '\b[A-Z][a-z0-9]+(?: [A-Z][a-z0-9]+)*\b') as l from ep)")
+def extract_phrases(spark, d):
+    return M.episodes(spark, d).select("uuid", F.array_join(extract.phrases(F.col("content")), "|").alias("phrases"))
+
+
+@query("fact ent al", f"""with q as (select {_NORM.format('name')} as k from ent where name <> '' order by mention_count desc, uuid limit 1), eg as (select distinct uuid from (select uuid, {_NORM.format('name')} as k from ent union all select entity_uuid, {_NORM.format('alias')} from al where entity_uuid is not null) z, q where {_GRAM.replace('k in', 'z.k in', 1)}),
+st as (select *, row_number() over (partition by subj, canonical, obj order by valid_at desc nulls last, uuid) as n from fact where {_HELD}) select uuid from st where n = 1 and (subj in (select uuid from eg) or obj in (select uuid from eg)) order by valid_at desc nulls last, uuid limit 20""")
+def recall_as_of(spark, d):
+    g = MemoryGraph.load(spark, d)
+    row = g.entities.where("name != ''").orderBy(F.desc("mention_count"), "uuid").select("name").first()
+    return g.recall_as_of(row.name if row else "", AT).select("uuid")
+
+
 # Participants and packs
 
 _REFS = "rf as (select distinct group_id, uuid as fact_uuid, actor, case when actor = subj then 'asserted' else 'witnessed' end as role from (select group_id, uuid, subj, unnest([subj, obj]) as actor from fact) where actor is not null)"
