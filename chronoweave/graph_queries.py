@@ -19,6 +19,7 @@ from chronoweave.operators import predicates as P
 from chronoweave.operators import resolution as R
 from chronoweave.operators import retrieval as S
 from chronoweave.operators import state as W
+from chronoweave.operators import views as X
 from chronoweave.plans.memory import MemoryGraph
 from chronoweave.sources import model as M
 from chronoweave.sources import packs
@@ -796,3 +797,91 @@ def pack_export_rows(spark, d):
 def pack_import_remap(spark, d):
     e = M.entities(spark, d)
     return packs.remap_entities(e.where("group_id != 'ws-main'"), e, "ws-main")
+
+
+# Read models
+
+
+_EPS = "eps as (select uuid, group_id, trim(source_description) as resource from (select *, row_number() over (partition by uuid order by created_at, content asc nulls last) as rn from episode where uuid is not null) where rn = 1 and source_description is not null and trim(source_description) <> '')"
+
+
+@query("", f"with {_EPS} select group_id, resource, count(*) as n_episodes, min(uuid) as first_uuid from eps group by all")
+def resources(spark, d):
+    return X.resources(M.episodes(spark, d))
+
+
+@query("fact", f"with {_EPS}, l as (select distinct uuid as fact, unnest(episodes) as episode, subj, obj from fact), j as (select group_id, resource, fact, unnest([subj, obj]) as node from eps join l on l.episode = eps.uuid) select group_id, resource, count(distinct fact) as n_facts, count(distinct node) as n_nodes from j where node is not null group by all")
+def resource_support(spark, d):
+    return X.resource_support(M.episodes(spark, d), M.facts(spark, d))
+
+
+@query("ep", "with a as (select group_id, count(*) as n_all from ep group by 1), s as (select group_id, source, count(*) as n from ep where contains(source, 'self_') group by all) select group_id, source, n, round(n / n_all, 6) as frequency from s join a using (group_id)")
+def self_patterns(spark, d):
+    return X.self_patterns(M.episodes(spark, d))
+
+
+@query("fact ent", "with m as (select unnest(episodes) as e, subj, obj from fact), l as (select e, subj as entity from m union all select e, obj from m), c as (select ent.group_id, entity, count(*) as n from l join ent on ent.uuid = l.entity group by all) select group_id, entity, n from c qualify row_number() over (partition by group_id order by n desc, entity) = 1")
+def most_mentioned(spark, d):
+    return X.most_mentioned(G.mentions(M.facts(spark, d)), M.entities(spark, d))
+
+
+@query("fact ep ent", """with f as (select group_id, count(*) as n_facts, count(*) filter (where status = 'active') as n_active, count(*) filter (where stability <> 'episodic') as n_reinforced, count(*) filter (where canonical = 'pursues_goal') as n_goals from fact group by 1),
+e as (select group_id, count(*) as n_episodes, count(cognition_processed_at) as n_processed from ep group by 1), n as (select group_id, count(*) as n_entities from ent group by 1)
+select group_id, coalesce(n_facts, 0) as n_facts, coalesce(n_active, 0) as n_active, coalesce(n_reinforced, 0) as n_reinforced, coalesce(n_goals, 0) as n_goals, coalesce(n_episodes, 0) as n_episodes, coalesce(n_processed, 0) as n_processed, coalesce(n_entities, 0) as n_entities from f full join e using (group_id) full join n using (group_id)""")
+def cognition_summary(spark, d):
+    return X.cognition_summary(M.facts(spark, d), M.episodes(spark, d), M.entities(spark, d))
+
+
+@query("fact", f"with c as (select group_id, canonical, count(*) as n from fact where {_LIVE} group by all) select group_id, canonical, n, row_number() over (partition by group_id order by n desc, canonical) as place from c qualify place <= 5")
+def top_relations(spark, d):
+    return X.top_relations(M.facts(spark, d), _now())
+
+
+@query("fact ep", f"""with {_PATTERN}, c as (select group_id, canonical, count(*) as n from fact where {_LIVE} group by all), t as (select group_id, canonical, row_number() over (partition by group_id order by n desc, canonical) as place from c qualify place <= 5),
+g as (select group_id, obj, row_number() over (partition by group_id order by confidence desc, uuid) as n from fact where {_LIVE} and canonical = 'pursues_goal' qualify n <= 10), l as (select group_id, pattern from pt qualify row_number() over (partition by group_id order by created_at desc, uuid desc) = 1)
+select a.group_id, domains, coalesce(goals, '') as goals, coalesce(pattern, '') as pattern from (select group_id, string_agg(canonical, ',' order by place) as domains from t group by 1) a left join (select group_id, string_agg(obj, ',' order by n) as goals from g group by 1) b using (group_id) left join l using (group_id)""")
+def prediction_bundle(spark, d):
+    return X.prediction_bundle(M.facts(spark, d), C.interaction_patterns(M.episodes(spark, d)), _now())
+
+
+@query("fact", "with o as (select * from fact where singleton and status <> 'superseded' and subj is not null and valid_at is not null) select a.uuid, b.uuid as uuid_b from o a join o b on a.group_id = b.group_id and a.subj = b.subj and a.canonical = b.canonical and a.uuid < b.uuid and a.obj <> b.obj where (b.invalid_at is null or a.valid_at < b.invalid_at) and (a.invalid_at is null or b.valid_at < a.invalid_at)")
+def contradictions(spark, d):
+    return X.contradictions(M.facts(spark, d))
+
+
+@query("fact ent", "with l as (select distinct unnest(episodes) as episode, uuid as fact, subj, obj from fact), n as (select episode, unnest([subj, obj]) as node from l) select l.episode, count(distinct fact) as n_facts, coalesce(any_value(k.n_nodes), 0) as n_nodes from l left join (select episode, count(distinct node) as n_nodes from n where node in (select uuid from ent) group by 1) k using (episode) group by l.episode")
+def nodes_by_episode(spark, d):
+    return X.by_episode(M.facts(spark, d), M.entities(spark, d))
+
+
+@query("ep", "select uuid, coalesce(case when starts_with(trim(content), '{') and json_valid(trim(content)) then json_extract_string(trim(content), '$.body') end, content) as body from ep")
+def message_bodies(spark, d):
+    return M.episodes(spark, d).select("uuid", X.message_body(F.col("content")).alias("body"))
+
+
+@query("fact", "select uuid, json_extract_string(qualifiers, '$.season') as season from fact where json_extract_string(qualifiers, '$.season') is not null")
+def qualifier_access(spark, d):
+    return M.facts(spark, d).select("uuid", F.get_json_object("qualifiers", "$.season").alias("season")).where("season is not null")
+
+
+@query("ep", "with " + _bm25_sql("ep", "uuid", "content", ["harvest", "review", "cargo"]) + " select uuid, score from bm")
+def episode_fulltext(spark, d):
+    return S.bm25(M.episodes(spark, d), "uuid", "content", "harvest review cargo")
+
+
+@query("ent", """with v as (select uuid, name, name_embedding::double[] as v from ent where len(name_embedding) = 64 and len(list_filter(name_embedding, lambda x: isnan(x))) = 0), n as (select *, sqrt(list_dot_product(v, v)) as n from v), q as (select v, n from n where n > 0 order by uuid limit 1),
+s as (select n.uuid, round(case when n.n > 0 then list_dot_product(n.v, q.v) / (n.n * q.n) else 0 end, 9) as score from n, q), vec as (select uuid, row_number() over (order by score desc, uuid) as rank from s qualify rank <= 50),
+""" + _bm25_sql("ent", "uuid", "name", ["shipping", "partners"]) + """, lex as (select uuid, row_number() over (order by score desc, uuid) as rank from bm qualify rank <= 50)
+select uuid, round(sum(1.0 / (60 + rank)), 9) as score from (select * from vec union all select * from lex) group by uuid""")
+def node_search(spark, d):
+    e = M.entities(spark, d)
+    sound = e.where(F.size("name_embedding") == 64).where(F.forall("name_embedding", lambda x: ~F.isnan(x)))
+    row = sound.where(F.exists("name_embedding", lambda x: x != 0)).orderBy("uuid").select("name_embedding").first()
+    vec = S.ranked(S.vector_topk(sound, "uuid", "name_embedding", list(row.name_embedding) if row else [0.0] * 64, 50), F.desc("score"), F.col("uuid"))
+    lex = S.ranked(S.bm25(e, "uuid", "name", "shipping partners").orderBy(F.desc("score"), "uuid").limit(50), F.desc("score"), F.col("uuid"))
+    return S.fuse([vec, lex], "uuid").select("uuid", F.round("score", 9).alias("score"))
+
+
+@query("", "select * from (values " + ", ".join(f"('{a}', '{b}', '{c}', '{e}', '{f}')" for a, b, c, e, f in R.DEFAULT_FRAMES) + ") t(canonical, direction, temporal_kind, cardinality, policy)")
+def default_frames(spark, d):
+    return R.default_frames(spark)
