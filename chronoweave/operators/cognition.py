@@ -138,3 +138,30 @@ def debounce(events: DataFrame, key: str, at: str, order: str, idle_seconds: int
     n = s.withColumn("n", F.row_number().over(Window.partitionBy(key, "session").orderBy(at, order)))
     batch = F.floor((F.col("n") - 1) / most)
     return n.groupBy(key, "session", batch.alias("batch")).agg(F.count("*").alias("n_events"), F.min(order).alias("first_id"))
+
+
+def beliefs(facts: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Active facts whose source episodes voice a belief: ``uuid`` and the first such episode."""
+    voiced = episodes.where(T.looks_like_belief(F.col("content"))).select(F.col("uuid").alias("episode"))
+    rows = facts.where("status = 'active'").select("uuid", F.explode("episodes").alias("episode"))
+    return rows.join(voiced, "episode").groupBy("uuid").agg(F.min("episode").alias("episode"))
+
+
+def goals(episodes: DataFrame) -> DataFrame:
+    """Goals that episodes tell, with a short name and the fallback's confidence."""
+    told = episodes.select("uuid", "group_id", F.explode(T.goal_clauses(F.col("content"))).alias("goal"))
+    return told.select("uuid", "group_id", "goal", T.snake_case(F.left("goal", F.lit(48))).alias("name"), F.lit(0.55).alias("confidence"))
+
+
+def community_domains(members: DataFrame, facts: DataFrame, most: int = 3) -> DataFrame:
+    """The most frequent words of a community's facts: ``group_id, community, domain``."""
+    rows = facts.select("group_id", F.col("subj").alias("node"), F.explode(T.all_of(F.lower("fact"), "[a-z]{4,}")).alias("term")).where(~F.col("term").isin(*NO_TOPIC))
+    counts = rows.join(members, ["group_id", "node"]).groupBy("group_id", "community", "term").agg(F.count("*").alias("n"))
+    top = counts.withColumn("_n", F.row_number().over(Window.partitionBy("group_id", "community").orderBy(F.desc("n"), "term"))).where(F.col("_n") <= most)
+    return top.groupBy("group_id", "community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"]), " ").alias("domain"))
+
+
+def recall_reinforcement(facts: DataFrame, recalled: DataFrame, now: Column, amount: float = 1.0) -> DataFrame:
+    """Rows to write after a recall of ``recalled`` (``uuid``): one more recall, a small activation event at ``now``."""
+    hit = facts.join(recalled.select("uuid").distinct(), "uuid", "left_semi")
+    return hit.select("uuid", (F.col("recall_count") + 1).alias("recall_count"), now.alias("last_recalled_at"), F.lit(amount * D.RECALL_WEIGHT).alias("event_weight"))

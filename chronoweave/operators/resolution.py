@@ -101,3 +101,22 @@ def allowed_by_types(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """Facts whose endpoint types (``subj_type``, ``obj_type``) have a rule; a rule with an empty list allows any predicate."""
     r = rules.select("subj_type", "obj_type", "predicates")
     return facts.join(r, ["subj_type", "obj_type"]).where((F.size("predicates") == 0) | F.array_contains("predicates", F.col("pred"))).drop("predicates")
+
+
+def register_frames(frames: DataFrame, new: DataFrame) -> DataFrame:
+    """Frames (``group_id, canonical_name, aliases``) with new ones over those of the same group and name."""
+    kept = frames.join(new.select("group_id", "canonical_name"), ["group_id", "canonical_name"], "left_anti")
+    return kept.select("group_id", "canonical_name", "aliases").unionByName(new.select("group_id", "canonical_name", "aliases").dropDuplicates(["group_id", "canonical_name"]))
+
+
+def merge_frames(frames: DataFrame, into: str, other: str) -> DataFrame:
+    """One frame made an alias of another: names and aliases of both end up with ``into``."""
+    empty = F.array().cast("array<string>")
+    moved = frames.where(F.col("canonical_name").isin(into, other)).groupBy("group_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("canonical_name"), F.coalesce("aliases", empty)))))).alias("aliases"))
+    merged = moved.select("group_id", F.lit(into).alias("canonical_name"), F.filter("aliases", lambda a: a != into).alias("aliases"))
+    return frames.where(~F.col("canonical_name").isin(into, other)).select("group_id", "canonical_name", "aliases").unionByName(merged)
+
+
+def replace_targets(facts: DataFrame, similar: DataFrame, subj: str) -> DataFrame:
+    """Open, active facts of a subject among similar ones: those an explicit replacement ends."""
+    return facts.where((F.col("subj") == subj) & (F.col("status") == "active") & F.col("invalid_at").isNull()).join(similar.select("uuid"), "uuid", "left_semi").select("uuid")
