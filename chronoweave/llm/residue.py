@@ -3,8 +3,9 @@
 Seeds are documents that rules can trust: unfilled placeholders outside code and quotations, or a body whose
 every sentence is filler, an error message or a notice about scripts. Near-duplicates of seeds are found
 with partitioned SimHash tables over five-word shingles: a table keeps some bits of the fingerprint, and only
-documents with equal bits in a table meet. Hamming distance and the Jaccard similarity of the shingles verify
-a pair. Labels then spread from seeds through the connected components, one ring of neighbours a round; only
+documents with equal bits in a table meet within a Hamming distance. The tables miss pairs, more of them the larger
+the input; a prefix filter over the shingles is exact and adds what they miss. The Jaccard similarity of the shingles
+verifies a pair. Labels then spread from seeds through the connected components, one ring of neighbours a round; only
 components that hold a seed are walked. A document that got its label this way must show residue itself.
 
 Equal bodies are one class throughout, so a notice that a third of all documents repeat is one row.
@@ -201,6 +202,51 @@ def _fingerprint(conf: NearDuplicates):
     return run
 
 
+_BUCKETS = 65536
+
+
+def _frequencies(conf: NearDuplicates):
+    """How many shingles of a partition fall into each bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        total = np.zeros(_BUCKETS, np.int64)
+        for pdf in batches:
+            if len(known) > 500_000:
+                known.clear()
+            for body in pdf["body"]:
+                total += np.bincount((shingles(body.split(), conf.shingle, known) % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    return run
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets of at least ``similarity`` share one of them.
+
+    They have at least ``similarity`` of either set in common, so in one order of all shingles the sets cannot agree only
+    after this many. The order is by the bucket's frequency, then by the hash; any order is exact.
+    """
+    most = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, frequent[(hashes % np.uint64(_BUCKETS)).astype(np.int64)]))[:most]]
+
+
+def _prefixes(frequent: np.ndarray, conf: NearDuplicates):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for pdf in batches:
+            if len(known) > 500_000:
+                known.clear()
+            for key, body in zip(pdf["key"], pdf["body"]):
+                h = shingles(body.split(), conf.shingle, known)
+                if len(h):
+                    own = prefix(h, frequent, conf.similarity).view(np.int64)
+                    yield pd.DataFrame({"key": [key] * len(own), "shingle": own, "place": np.arange(len(own)), "size": len(h)})
+
+    return run
+
+
 def _verify(conf: NearDuplicates):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -240,13 +286,22 @@ def residue_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     classes = scratch.save(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("print").alias("print"), F.max("kind").alias("kind"), F.max("share").alias("share")))
     n = max(2, classes.count())
     bits = min(28, max(12, math.ceil(math.log2(n))))
-    bodies = prints.join(classes.select("key", "rep"), "key").where("doc_id = rep").select("key", "body").dropDuplicates(["key"])
+    bodies = scratch.save(prints.join(classes.select("key", "rep"), "key").where("doc_id = rep").select("key", "body").dropDuplicates(["key"]))
+    frequent = np.zeros(_BUCKETS, np.int64)  # the number of buckets is fixed
+    for row in bodies.select("body").mapInPandas(_frequencies(conf), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        frequent[row.bucket] = row.n
+    index = scratch.save(bodies.mapInPandas(_prefixes(frequent, conf), "key binary, shingle long, place long, size long"))
+    index_b = index.select("shingle", F.col("key").alias("key_b"), F.col("place").alias("place_b"), F.col("size").alias("size_b"))
+    # A shared shingle and all after it, in the shorter rest, must make up the overlap of the least similarity.
+    enough = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) >= conf.similarity / (1 + conf.similarity) * (F.col("size") + F.col("size_b")) - 1e-6
     seeds = classes.where("kind > 0 and key is not null").select("key", "print")
     rest = classes.where(F.col("kind") == 0).where(F.col("share") >= conf.evidence).select("key", "print")
     ring, found = seeds, []
     while True:
         other = _tables(rest, bits, conf).select("t", "bits", F.col("key").alias("key_b"), F.col("print").alias("print_b"))
-        near = _tables(ring, bits, conf).join(other, ["t", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("print_b"))) <= conf.distance).select("key", "key_b").distinct()
+        near = _tables(ring, bits, conf).join(other, ["t", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("print_b"))) <= conf.distance).select("key", "key_b")
+        exact = index.join(ring.select("key"), "key", "left_semi").join(index_b, "shingle").where(enough).select("key", "key_b").join(rest.select(F.col("key").alias("key_b")), "key_b", "left_semi").select("key", "key_b")
+        near = near.unionByName(exact).distinct()
         sides = near.join(bodies, "key").select(F.col("key_b").alias("key"), F.col("body").alias("body_b")).join(bodies, "key")
         new = scratch.save(sides.mapInPandas(_verify(conf), "key binary").distinct().join(rest, "key"))
         if new.isEmpty():

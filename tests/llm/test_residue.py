@@ -50,3 +50,23 @@ def test_labels_spread_to_near_duplicates(spark):
     rows = [(1, seed), (2, other), (3, "A clean answer about planners, with words of its own.")]
     got = {r.doc_id: r.reason for r in R.residue_documents(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got[1] == "residue" and 3 not in got and got.get(2, "near_duplicate") == "near_duplicate"
+
+
+def test_every_pair_of_enough_similarity_meets(spark):
+    rng = np.random.default_rng(3)
+    latin = sorted(R.LATIN)
+    rows, n = [], 150
+    for i in range(n):
+        words = [str(w) for w in rng.choice(latin, 120)]
+        near = list(words)
+        for at in (19, 59):  # 10 of 116 shingles change, and the sentence after it adds one
+            near[at] = f"zz{'abcdefghij'[i % 10]}"
+        rows += [(2 * i, " ".join(words) + "."), (2 * i + 1, " ".join(near) + ".\nour.")]
+    want = set()
+    for (a, x), (b, y) in zip(rows[::2], rows[1::2]):
+        p, q = (set(R.shingles(R.inspect(v)[2], 5, {}).tolist()) for v in (x, y))
+        if len(p & q) >= 0.8 * len(p | q):
+            want.add(b)
+    assert len(want) == n
+    got = {r.doc_id for r in R.residue_documents(spark.createDataFrame(rows, "doc_id int, text string")).collect() if r.reason == "near_duplicate"}
+    assert got == want
