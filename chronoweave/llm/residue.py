@@ -6,7 +6,9 @@ with partitioned SimHash tables over five-word shingles: a table keeps some bits
 documents with equal bits in a table meet within a Hamming distance. The tables miss pairs, more of them the larger
 the input; a prefix filter over the shingles is exact and adds what they miss. The Jaccard similarity of the shingles
 verifies a pair. Labels then spread from seeds through the connected components, one ring of neighbours a round; only
-components that hold a seed are walked. A document that got its label this way must show residue itself.
+components that hold a seed are walked, and all of these: what lies between may be clean. A document that got its
+label this way must show residue itself: residue in enough of its sentences, or, in a component with a placeholder,
+text that looks unfilled.
 
 Equal bodies are one class throughout, so a notice that a third of all documents repeat is one row.
 """
@@ -46,6 +48,11 @@ PLACEHOLDERS = (
     r"<(?i:your|insert|enter|add|company|first|last|user|customer|product)\b(?i:[\w ]{0,40})>", r"\[(?i:insert|your|enter|add|company|first name|last name|customer|product|placeholder)\b[^\[\]\n]{0,40}\](?!\()",
     r"(?<![\w{$%#])\{\d\}(?![\w}])",
 )
+#: Looser notations, which count only in near-duplicates of a text with a placeholder.
+UNFILLED = (
+    r"\[ *[A-Za-z][\w .'/-]{0,40}\](?!\()", r"\{ *[A-Za-z][\w .-]{0,40}\}", r"<< *[A-Za-z][\w .-]{0,40}>>", r"<[A-Z][A-Z_ ]{2,40}>", r"\(\( *[A-Za-z][\w .-]{0,40}\)\)",
+    r"(?<!\w)(?P<mark>[@#%^$|]{1,2})[A-Za-z][A-Za-z_]{1,40}(?P=mark)(?!\w)", r"(?<=[\w:,] )_{3,}", r"\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b", r"\b[Xx]{3,}\b",
+)
 #: Words of the usual Latin filler.
 LATIN = frozenset("""lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
 enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate
@@ -80,6 +87,7 @@ FILLER = (
 _PERSONAL = re.compile(r"(?<![\w'])(?:i|i'm|i've|my|me|we|our|us|ich|mir|mein\w*|wir|je|j'\w*|mon|ma|mes|nous|yo|mi|me|uso|nosotros)(?![\w'])|[?`\"“”«»„]|https?://", re.I)
 
 _PLACEHOLDER = re.compile(r"(?=[{<\[%_$#X])(?:" + "|".join(PLACEHOLDERS) + ")")  # all start with one of these
+_UNFILLED = re.compile("|".join(f"(?:{p})" for p in UNFILLED))
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|<(code|pre)\b.*?</\1>|^(?: {4}|\t).*$", re.S | re.M | re.I)
 _CODE_LINES = re.compile(r"^(?: {4}|\t).*$", re.M)
 _QUOTED = re.compile(r"\"[^\"\n]{0,80}\"|“[^”\n]{0,80}”|„[^“”\n]{0,80}[“”]|«[^»\n]{0,80}»")
@@ -155,6 +163,11 @@ def inspect(text: str) -> tuple[int, float, list[str]]:
     return kind, best, [w if w.isalpha() else _NUMBER.sub("0", w) for w in words]
 
 
+def unfilled(text: str) -> bool:
+    """Whether some text outside code and quotations looks like a placeholder, in looser notations too."""
+    return any(p.search(text) and p.search(_QUOTED.sub(" ", _CODE.sub(" ", text))) for p in (_UNFILLED, _PLACEHOLDER))
+
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,8 +209,8 @@ def _fingerprint(conf: NearDuplicates):
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 kind, share, words = inspect(text)
                 body = " ".join(words)
-                out.append((doc, xxhash.xxh3_128_digest(body), simhash(shingles(words, conf.shingle, known)), kind, share, body))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "print", "kind", "share", "body"])
+                out.append((doc, xxhash.xxh3_128_digest(body), simhash(shingles(words, conf.shingle, known)), kind, share, not kind and unfilled(text), body))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "print", "kind", "share", "unfilled", "body"])
 
     return run
 
@@ -256,7 +269,7 @@ def _verify(conf: NearDuplicates):
                 x, y = shingles(a.split(), conf.shingle, known), shingles(b.split(), conf.shingle, known)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= conf.similarity * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["key"]]
+            yield pdf.loc[keep, ["key", "kind"]]
 
     return run
 
@@ -282,8 +295,8 @@ def residue_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     scratch = Scratch(spark, "residue")
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null and text rlike '\\\\S'")
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    prints = scratch.save(rows.mapInPandas(_fingerprint(conf), f"doc_id {id_type}, key binary, print long, kind int, share double, body string"))
-    classes = scratch.save(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("print").alias("print"), F.max("kind").alias("kind"), F.max("share").alias("share")))
+    prints = scratch.save(rows.mapInPandas(_fingerprint(conf), f"doc_id {id_type}, key binary, print long, kind int, share double, unfilled boolean, body string"))
+    classes = scratch.save(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("print").alias("print")))
     n = max(2, classes.count())
     bits = min(28, max(12, math.ceil(math.log2(n))))
     bodies = scratch.save(prints.join(classes.select("key", "rep"), "key").where("doc_id = rep").select("key", "body").dropDuplicates(["key"]))
@@ -294,22 +307,20 @@ def residue_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     index_b = index.select("shingle", F.col("key").alias("key_b"), F.col("place").alias("place_b"), F.col("size").alias("size_b"))
     # A shared shingle and all after it, in the shorter rest, must make up the overlap of the least similarity.
     enough = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) >= conf.similarity / (1 + conf.similarity) * (F.col("size") + F.col("size_b")) - 1e-6
-    seeds = classes.where("kind > 0 and key is not null").select("key", "print")
-    rest = classes.where(F.col("kind") == 0).where(F.col("share") >= conf.evidence).select("key", "print")
-    ring, found = seeds, []
-    while True:
-        other = _tables(rest, bits, conf).select("t", "bits", F.col("key").alias("key_b"), F.col("print").alias("print_b"))
-        near = _tables(ring, bits, conf).join(other, ["t", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("print_b"))) <= conf.distance).select("key", "key_b")
-        exact = index.join(ring.select("key"), "key", "left_semi").join(index_b, "shingle").where(enough).select("key", "key_b").join(rest.select(F.col("key").alias("key_b")), "key_b", "left_semi").select("key", "key_b")
-        near = near.unionByName(exact).distinct()
-        sides = near.join(bodies, "key").select(F.col("key_b").alias("key"), F.col("body").alias("body_b")).join(bodies, "key")
-        new = scratch.save(sides.mapInPandas(_verify(conf), "key binary").distinct().join(rest, "key"))
-        if new.isEmpty():
-            break
-        found.append(new)
-        ring = new
-        rest = rest.join(new.select("key"), "key", "left_anti")
+    other = scratch.save(_tables(classes, bits, conf).select("t", "bits", F.col("key").alias("key_b"), F.col("print").alias("print_b")))
+    # A class is walked once for each kind of seed that reaches it; the evidence is asked of documents, not on the way.
+    ring = scratch.save(prints.where("kind > 0").select("key", "kind").distinct())
+    walked = ring
+    while not ring.isEmpty():
+        at = ring.select("key").distinct()
+        near = _tables(classes.join(at, "key", "left_semi"), bits, conf).join(other, ["t", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("print_b"))) <= conf.distance).select("key", "key_b")
+        exact = index.join(at, "key", "left_semi").join(index_b, "shingle").where(enough).select("key", "key_b")
+        near = near.unionByName(exact).distinct().join(ring, "key").join(walked.select(F.col("key").alias("key_b"), "kind"), ["key_b", "kind"], "left_anti")
+        sides = near.join(bodies, "key").select(F.col("key_b").alias("key"), "kind", F.col("body").alias("body_b")).join(bodies, "key")
+        ring = scratch.save(sides.mapInPandas(_verify(conf), "key binary, kind int").distinct())
+        walked = walked.unionByName(ring)
     label = prints.where("kind > 0").select("doc_id", F.when(F.col("kind") == 1, "placeholder").otherwise("residue").alias("reason"))
-    for new in found:
-        label = label.unionByName(prints.join(new.select("key"), "key", "left_semi").select("doc_id", F.lit("near_duplicate").alias("reason")))
+    beside = walked.groupBy("key").agg(F.min("kind").alias("seed"))
+    shown = (F.col("share") >= conf.evidence) | ((F.col("seed") == 1) & F.col("unfilled"))
+    label = label.unionByName(prints.where("kind = 0").join(beside, "key").where(shown).select("doc_id", F.lit("near_duplicate").alias("reason")))
     return label.groupBy("doc_id").agg(F.max("reason").alias("reason"))

@@ -70,3 +70,15 @@ def test_every_pair_of_enough_similarity_meets(spark):
     assert len(want) == n
     got = {r.doc_id for r in R.residue_documents(spark.createDataFrame(rows, "doc_id int, text string")).collect() if r.reason == "near_duplicate"}
     assert got == want
+
+
+def test_near_duplicates_of_placeholders_and_bridges(spark):
+    words = [f"item{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    letter = lambda head, cut=(), tail="": f"Dear {head}, " + " ".join("changed" if i in cut else w for i, w in enumerate(words)) + "." + tail
+    rows = [
+        (1, letter("{{ user.name }}")), (2, letter("[client name]")), (3, letter("Paul Miller")),
+        (4, letter("Mary Baker", (50,))), (5, letter("((recipient))", (50, 75))),  # only 4 links 5 to the seed
+        (6, "Another text [client name] of its own words altogether."), (7, letter("[user name]")),
+    ]
+    got = {r.doc_id: r.reason for r in R.residue_documents(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: "placeholder", 2: "near_duplicate", 5: "near_duplicate", 7: "near_duplicate"}
