@@ -139,21 +139,24 @@ def body_of(text: str) -> tuple[list[str], list[str]]:
     return lines, untitled
 
 
-def inspect(text: str) -> tuple[int, float, list[str]]:
-    """(kind, share of residue sentences, words of the body): kind 2 for a residue body, 1 for placeholders, else 0."""
+def inspect(text: str, evidence: float = NearDuplicates.evidence) -> tuple[int, float, list[str]]:
+    """(kind, share of residue sentences, words of the body): kind 2 for a residue body, 1 for placeholders, else 0.
+
+    The share is of all sentences; it is 0 if it is below ``evidence``."""
     lines, untitled = body_of(text)
     kind, best = 0, 0.0
     known: dict[str, bool] = {}
     for version in (untitled, lines) if untitled is not lines else (lines,):
+        units = [u for line in version for u in _UNIT.split(line) if u.strip()]
         hit = miss = 0
-        for u in (u for line in version for u in _UNIT.split(line) if u.strip()):
+        for u in units:
             if u not in known:
                 known[u] = is_residue(u)
             hit, miss = hit + known[u], miss + (not known[u])
-            if miss > hit + 3:  # less than half either way
+            if miss and len(units) - miss < evidence * len(units):  # below it even if all others are residue
                 break
         else:
-            best = max(best, hit / (hit + miss) if hit else 0.0)
+            best = max(best, hit / len(units) if hit else 0.0)
         if hit and not miss:
             kind = 2
             break
@@ -207,7 +210,7 @@ def _fingerprint(conf: NearDuplicates):
                 known.clear()
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                kind, share, words = inspect(text)
+                kind, share, words = inspect(text, conf.evidence)
                 body = " ".join(words)
                 out.append((doc, xxhash.xxh3_128_digest(body), simhash(shingles(words, conf.shingle, known)), kind, share, not kind and unfilled(text), body))
             yield pd.DataFrame(out, columns=["doc_id", "key", "print", "kind", "share", "unfilled", "body"])

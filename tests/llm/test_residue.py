@@ -82,3 +82,10 @@ def test_near_duplicates_of_placeholders_and_bridges(spark):
     ]
     got = {r.doc_id: r.reason for r in R.residue_documents(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got == {1: "placeholder", 2: "near_duplicate", 5: "near_duplicate", 7: "near_duplicate"}
+
+
+@pytest.mark.parametrize("n", [10, 100])
+def test_share_counts_all_sentences(n):
+    head = ["Tables and chairs", "Lamps for the garden", "A word on delivery", "Opening hours of the shop"]
+    assert R.inspect("\n".join(head + ["502 Bad Gateway"] * n))[1] == pytest.approx(n / (n + 4))
+    assert R.inspect("\n".join(head + ["502 Bad Gateway"] * 3))[1] == 0
