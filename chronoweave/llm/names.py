@@ -3,7 +3,8 @@
 Names become sets of tokens without diacritics, case, order, forms of address and legal forms. Tokens are
 weighted by how rare they are over all names. A prefix-filtered set-similarity join works on the q-grams of
 tokens: of two tokens within the tolerated edits, one shares a gram among the rarest few of the other. Only
-a name's rarest tokens enter the join (its prefix: a match cannot leave the rarest token without partner). Candidate names are verified by soft token similarity, in which rare tokens count more and
+a name's rarest tokens enter the join (its prefix), against all tokens of the other name: a match leaves one of the two
+names without a token that has no partner, so that name's rarest token has one, anywhere in the other. Candidate names are verified by soft token similarity, in which rare tokens count more and
 unlike rare tokens, unlike given names or other numbers exclude a match.
 
 Full names that match are linked and grouped. Weak names (a surname with a form of address or an initial)
@@ -267,11 +268,12 @@ def link_variants(surfaces: DataFrame, lexicon: DataFrame, conf: Linkage = Linka
             for grp, node, toks in zip(pdf["grp"], pdf["node"], pdf["toks"]):
                 rated = [(weight(t), t.rstrip(".")) for t in set(toks)]
                 top = max(w for w, _ in rated)
-                out += [(grp, node, t) for w, t in rated if w >= 0.99 * top]
-            yield pd.DataFrame(out, columns=["grp", "node", "token"])
+                out += [(grp, node, t, w >= 0.99 * top) for w, t in rated]
+            yield pd.DataFrame(out, columns=["grp", "node", "token", "rarest"])
 
-    prefix = scratch.save(nodes.select("grp", "node", "toks").mapInPandas(to_prefix, "grp string, node string, token string").distinct())
-    terms = scratch.save(prefix.select("grp", "token").distinct())
+    tokens = scratch.save(nodes.select("grp", "node", "toks").mapInPandas(to_prefix, "grp string, node string, token string, rarest boolean").groupBy("grp", "node", "token").agg(F.max("rarest").alias("rarest")))
+    prefix = tokens.where("rarest")
+    terms = scratch.save(tokens.select("grp", "token").distinct())
     words = terms.where(~F.col("token").rlike(r"\d")).where(F.length("token") >= 4)
     q = conf.grams
     padded = F.concat(F.lit("#"), F.col("token"), F.lit("#"))
@@ -296,7 +298,8 @@ def link_variants(surfaces: DataFrame, lexicon: DataFrame, conf: Linkage = Linka
     near = keyed.join(other, ["grp", "gram"]).where("token < token_b and abs(length(token) - length(token_b)) <= 2").where(F.levenshtein("token", "token_b", 2 * conf.edits) >= 0).where(F.levenshtein("token", "token_b") <= most).select("grp", "token", "token_b").distinct()
     twins = near.unionByName(near.select("grp", F.col("token_b").alias("token"), F.col("token").alias("token_b"))).unionByName(terms.select("grp", "token", F.col("token").alias("token_b")))
     hits = prefix.select("grp", "node", "token").join(twins, ["grp", "token"]).select("grp", "node", F.col("token_b").alias("token")).distinct()
-    cand = hits.join(prefix.select("grp", F.col("node").alias("node_b"), "token"), ["grp", "token"]).where("node < node_b").select("grp", "node", "node_b").distinct()
+    met = hits.join(tokens.select("grp", F.col("node").alias("node_b"), "token"), ["grp", "token"]).where("node != node_b")
+    cand = met.select("grp", F.least("node", "node_b").alias("node"), F.greatest("node", "node_b").alias("node_b")).distinct()
     side = lambda s: nodes.select("grp", F.col("node").alias(f"node{s}"), F.col("toks").alias(f"toks{s}"), F.col("weak").alias(f"weak{s}"))
     cand = cand.join(side(""), ["grp", "node"]).join(side("_b"), ["grp", "node_b"])
 

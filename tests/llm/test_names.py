@@ -49,3 +49,12 @@ def test_groups(spark):
 
 def test_empty(spark):
     assert link(spark, []) == []
+
+
+def test_rarest_tokens_of_both_sides_differ(spark):
+    crowd = [("name", f"c{i}", "g", f"Gorogometz {chr(97 + i % 26) * 4}{chr(97 + i // 26) * 4}") for i in range(30)]
+    known = [("name", f"k{i}", "g", f"Xandrelle {chr(97 + i) * 3}qu{chr(98 + i) * 3}") for i in range(20)]
+    rows = [*crowd, *known, ("name", "a", "g", "Xandrekle Gorogometz"), ("name", "b", "g", "Xandrelle Gorogometz")]
+    lex = spark.createDataFrame([("robert", "robert")], "token string, formal_name string")
+    got = {r.rec: r.cluster for r in N.link_variants(spark.createDataFrame(rows, "role string, rec string, grp string, surface string"), lex).collect()}
+    assert "a" in got and got["a"] == got.get("b")
