@@ -510,7 +510,7 @@ def associative_weights(spark, d):
 
 @query("fact", f"with {_STRONG}, o as (select * from sf where status = 'active' and stability <> 'consolidated' and (epoch_us(:NOW) - epoch_us(created_at)) / 3.6e9 / 24 >= 30 order by created_at, uuid limit 500) select uuid, round(level, 6) as level from o where level < -3.5")
 def silence_inactive(spark, d):
-    return C.silence(_strong(spark, d), _now())
+    return C.silence(_strong(spark, d), _now(), by=())  # the SQL sweeps the table as one group
 
 
 @query("fact ep", """with j as (select distinct f.uuid, f.stability, e.uuid as eu, e.created_at from (select uuid, stability, unnest(episodes) as e from fact) f join ep e on e.uuid = f.e), g as (select uuid, stability, count(*) as n, (epoch_us(max(created_at)) - epoch_us(min(created_at))) / 8.64e10 as days from j group by all)

@@ -66,10 +66,14 @@ def associative_weights(strong: DataFrame) -> DataFrame:
     return live.join(touched, "uuid", "left").select("uuid", F.coalesce("touched", F.lit(0)).alias("touched"), F.round(w, 6).alias("weight"))
 
 
-def silence(strong: DataFrame, now: Column, days: int = 30, most: int = 500) -> DataFrame:
-    """Active, unprotected, faint facts older than ``days``: the oldest ``most``, a sweep's size."""
+def silence(strong: DataFrame, now: Column, days: int = 30, most: int = 500, by: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """Active, unprotected, faint facts older than ``days``: of the oldest ``most`` of each ``by``, a sweep's size."""
     old = strong.where((F.col("status") == "active") & ~D.protected(F.col("stability")) & (D.hours(now, F.col("created_at")) / 24 >= days))
-    return old.orderBy("created_at", "uuid").limit(most).where(F.col("level") < D.SILENCE).select("uuid", F.round("level", 6).alias("level"))
+    if by:
+        old = old.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("created_at", "uuid"))).where(F.col("_n") <= most)
+    else:
+        old = old.orderBy("created_at", "uuid").limit(most)
+    return old.where(F.col("level") < D.SILENCE).select("uuid", F.round("level", 6).alias("level"))
 
 
 def trait_candidates(facts: DataFrame, most: int = 12) -> DataFrame:

@@ -146,3 +146,11 @@ def test_debounce(spark):
     rows = [("u", datetime(2024, 1, 1, 0, 0, s), s) for s in (0, 1, 2, 3, 4, 5, 30)]
     got = sorted((r.session, r.batch, r.n_events) for r in C.debounce(spark.createDataFrame(rows, "k string, ts timestamp, id long"), "k", "ts", "id", 8, 5).collect())
     assert got == [(1, 0, 5), (1, 1, 1), (2, 0, 1)]
+
+
+def test_silence_sweeps_every_group(spark):
+    rows = [(f"{g}{i}", g, i) for g in "ab" for i in range(3)]
+    strong = spark.createDataFrame(rows, "uuid string, group_id string, day int").selectExpr("uuid", "group_id", "'active' as status", "'episodic' as stability", "timestampadd(DAY, day, timestamp'2020-01-01') as created_at", "-9D as level")
+    now = F.lit("2024-01-01").cast("timestamp")
+    assert {r.uuid for r in C.silence(strong, now, most=2).collect()} == {"a0", "a1", "b0", "b1"}
+    assert C.silence(strong, now, most=2, by=()).count() == 2
