@@ -126,19 +126,16 @@ def read(value: str, zone: str | None) -> tuple:
     """(notation, local time month first, local time day first, offset, instant, problem) of one value.
 
     Local times count microseconds from 1970-01-01 00:00 on the writer's clock; both readings are equal unless
-    the notation is ``slash``. ``offset`` is null without a written zone; an ``instant`` needs no zone at all.
+    the notation is ``slash``. Runs of blanks are read as one, and a value may have any length. ``offset`` is null without a written zone; an ``instant`` needs no zone at all.
     """
-    low = value.strip().lower()
+    low = " ".join(value.lower().split())
     if len(low) in _DIGITS and low.isascii() and low.isdigit():
         us = int(low) * _DIGITS[len(low)]
         return "epoch", us, us, 0, True, None
-    if len(low) <= 80:
-        for notation, (pattern, names) in _COMPILED.items():
-            if found := pattern.match(low):
-                part = dict(zip(names, found.groups()))
-                break
-        else:
-            return None, None, None, None, False, "unreadable"
+    for notation, (pattern, names) in _COMPILED.items():
+        if found := pattern.match(low):
+            part = dict(zip(names, found.groups()))
+            break
     else:
         return None, None, None, None, False, "unreadable"
     y, d = int(part["y"]), int(part["d"])

@@ -69,3 +69,10 @@ def test_mixture_learns_the_order(spark):
 @pytest.mark.parametrize("counts,high", [((90, 0, 10), True), ((0, 90, 10), False)])
 def test_fit(counts, high):
     assert (T.fit_mixture(*counts, 0.5) > 0.9) is high or (T.fit_mixture(*counts, 0.5) < 0.1) is not high
+
+
+def test_long_values():
+    for value in ("2024-03-05" + " " * 90 + "10:20:30Z", "2024-03-05T10:20:30+00:00[" + "Area/" * 20 + "Place]"):
+        notation, month, day, offset, _, problem = T.read(value, None)
+        assert (notation, offset, problem) == ("iso", 0, None) and month == day == us(2024, 3, 5, 10, 20, 30)
+    assert T.read("x" * 100_000, None)[-1] == "unreadable"
