@@ -1,25 +1,28 @@
 """Timestamps written in many notations, brought to one UTC instant.
 
-Every value is matched against a mixture of notations. Most notations exclude each other; a date with
-slashes that ends in the year has two readings (month first, day first), and a source mixes both in
-unknown parts. Expectation-maximisation estimates the parts per source from aggregated counts: each value
-gives likelihood to all readings that are an existing date, the posterior picks one, and values whose
-posterior stays undecided are marked. A convention declared for a source enters as a prior.
-
-Trying the notations is per-value work with a dozen outcomes, so it runs in Arrow batches; picking an order
-and going through the zone's daylight-saving rules are built-in column functions again.
+Every value is matched against a mixture of notations; some values fit several. A date with slashes, dots or dashes that
+ends in the year may have the month or the day first, twelve digits may be a date with a time or count milliseconds, and
+a zone abbreviation may mean different offsets. A source (table, field, locale) mixes notations in unknown shares.
+Expectation-maximisation estimates the shares per source from aggregated counts: each value gives likelihood to every
+notation under which it is an existing date, the posterior picks one, and values whose posterior stays undecided are
+marked and keep the second instant. What a source declares enters as a prior worth ``strength`` values, so a source that
+says one order and writes the other is read as it writes.
+
+Trying the notations is per-value work with a dozen outcomes, so it runs in Arrow batches; going through the zone's
+daylight-saving rules is a built-in column function again.
 """
 
 from __future__ import annotations
 
 import re
 import zoneinfo
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Month names in English, German, French and Spanish, full and usual short forms.
@@ -58,6 +61,8 @@ NOTATIONS = {
     "slash": (rf"(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:,?\s+{_TIME}\s*([ap]\.?m\.?)?\s*{_ZONE})?$", ("m", "d", "y", "h", "mi", "s", "f", "half", "z")),
     "dots": (rf"(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:,?\s+{_TIME}(?:\s*uhr)?\s*{_ZONE})?$", ("d", "m", "y", "h", "mi", "s", "f", "z")),
     "day_name": (rf"(?:[^\W\d_]+\.?,\s*)?(\d{{1,2}})\.?\s+(?:de\s+)?{_WORD}\.?,?\s+(?:de\s+)?(\d{{4}})(?:,?\s+(\d{{1,2}})[:h](\d{{2}})(?::(\d{{2}})(?:[.,](\d+))?)?(?:\s*uhr)?\s*{_ZONE})?$", ("d", "m", "y", "h", "mi", "s", "f", "z")),
+    "dash": (rf"(\d{{1,2}})-(\d{{1,2}})-(\d{{4}})(?:(?:t|,?\s+){_TIME}\s*([ap]\.?m\.?)?\s*{_ZONE})?$", ("d", "m", "y", "h", "mi", "s", "f", "half", "z")),
+    "stamp": (r"(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2})?)?$", ("y", "m", "d", "h", "mi", "s")),
     "name_day": (rf"(?:[^\W\d_]+\.?,\s*)?{_WORD}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:,?\s+{_TIME}\s*([ap]\.?m\.?)?\s*{_ZONE})?$", ("m", "d", "y", "h", "mi", "s", "f", "half", "z")),
 }
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z$"
@@ -68,43 +73,61 @@ MAX_LITERAL_SOURCES = 2000
 
 @dataclass(frozen=True)
 class Mixture:
-    """Settings of the two-component mixture of slash dates.
+    """Settings of the mixture of notations.
 
-    ``strength``: prior odds given to the order that a source declares; 1 declares nothing.
-    ``undecided``: a posterior between ``undecided`` and ``1 - undecided`` marks the value as ambiguous.
+    ``strength``: values of evidence that a declared order counts for; ``base``: the same for every notation;
+    ``undecided``: a posterior below ``1 - undecided`` marks the value as ambiguous; ``rounds`` and ``tolerance`` end the fit.
     """
 
-    strength: float = 1e9
+    strength: float = 1.0
+    base: float = 0.05
     undecided: float = 0.1
-    rounds: int = 50
+    rounds: int = 200
     tolerance: float = 1e-9
 
 
-def fit_mixture(only_month: float, only_day: float, both: float, prior_month: float, conf: Mixture = Mixture()) -> float:
-    """Share of month-first values of one source, by expectation-maximisation.
+def fit_shares(counts: dict[tuple[str, ...], float], prior: dict[str, float], conf: Mixture = Mixture()) -> dict[str, float]:
+    """Shares of the notations of one source, by expectation-maximisation with a Dirichlet prior.
 
-    ``only_month`` and ``only_day`` count values with one reading, ``both`` those with two; ``prior_month`` is the
-    prior probability of the month-first order.
+    ``counts`` has the number of values for each set of notations that fit a value; ``prior`` the pseudo-counts of
+    notations beyond ``conf.base``. The fit starts from the values that fit one notation only.
     """
-    share = prior_month
+    names = sorted({n for fits in counts for n in fits} | set(prior))
+    weight = {n: conf.base + prior.get(n, 0.0) for n in names}
+    total = sum(counts.values()) + sum(weight.values())
+    if not names or not total:
+        return {}
+    share = {n: (weight[n] + counts.get((n,), 0)) / total for n in names}
     for _ in range(conf.rounds):
-        up = share * prior_month
-        down = (1 - share) * (1 - prior_month)
-        expected = only_month + both * (up / (up + down) if up + down else prior_month)
-        total = only_month + only_day + both
-        new = (expected + prior_month) / (total + 1)
-        if abs(new - share) < conf.tolerance:
-            return new
+        new = dict(weight)
+        for fits, n in counts.items():
+            whole = sum(share[f] for f in fits)
+            for f in fits:
+                new[f] += n * share[f] / whole
+        new = {n: v / total for n, v in new.items()}
+        moved = max(abs(new[n] - share[n]) for n in names)
         share = new
+        if moved < conf.tolerance:
+            break
     return share
 
 
+def fit_mixture(only_month: float, only_day: float, both: float, prior_month: float, conf: Mixture = Mixture()) -> float:
+    """Share of month-first values among two orders; ``prior_month`` is the declared chance of the month-first order."""
+    counts = {("day",): only_day, ("month",): only_month, ("day", "month"): both}
+    share = fit_shares({k: n for k, n in counts.items() if n}, {"month": conf.strength * prior_month, "day": conf.strength * (1 - prior_month)}, conf)
+    return share["month"] / (share["month"] + share["day"])
+
+
 _MONTH = {word: month for month, words in MONTHS.items() for word in words.split()}
 _COMPILED = {name: (re.compile(pattern), parts) for name, (pattern, parts) in NOTATIONS.items()}
-_DIGITS = {10: 1_000_000, 13: 1_000, 16: 1}
+#: Microseconds of the units that digits alone may count in; such a count names a time from 1973 to 2286.
+_UNITS = {"epoch_s": 1_000_000, "epoch_ms": 1_000, "epoch_us": 1}
+_ERA = (10**14, 10**16)
+_ORDERED = {"slash", "dots", "dash"}
 _DAY_US = 86_400_000_000
 _EPOCH_DAY = date(1970, 1, 1).toordinal()
-_READ = "tbl string, record_key string, field string, value string, zone string, locale string, notation string, month_us long, day_us long, offset_us long, instant boolean, problem string"
+_ZONES = frozenset(zoneinfo.available_timezones())
 
 
 def _midnight(y: int, m: int, d: int) -> int | None:
@@ -114,69 +137,86 @@ def _midnight(y: int, m: int, d: int) -> int | None:
         return None
 
 
-def _offset(zone: str, area: str) -> int | None:
-    """Minutes east of UTC of a written offset or abbreviation."""
+def _offsets(zone: str, area: str) -> dict[str, int]:
+    """Minutes east of UTC of a written offset or abbreviation; several if no area tells its meaning."""
     if zone[0] in "+-":
         digits = zone[1:].replace(":", "")
-        return (-1 if zone[0] == "-" else 1) * (int(digits[:2]) * 60 + int(digits[2:] or 0))
-    return ABBREVIATIONS.get(f"{zone}|{area}", ABBREVIATIONS.get(zone))
+        return {"": (-1 if zone[0] == "-" else 1) * (int(digits[:2]) * 60 + int(digits[2:] or 0))}
+    if area and f"{zone}|{area}" in ABBREVIATIONS:
+        return {"": ABBREVIATIONS[f"{zone}|{area}"]}
+    if zone not in ABBREVIATIONS:
+        return {}
+    others = {} if area else {f"+{k}": v for k, v in ABBREVIATIONS.items() if k.startswith(f"{zone}|")}
+    return {"+" + zone if others else "": ABBREVIATIONS[zone]} | others
 
 
-def read(value: str, zone: str | None) -> tuple:
-    """(notation, local time month first, local time day first, offset, instant, problem) of one value.
+def _digits(low: str) -> list[tuple[str, int, int | None, bool]]:
+    n = int(low)
+    out = [(unit, n * us, 0, True) for unit, us in _UNITS.items() if _ERA[0] <= abs(n * us) < _ERA[1]]
+    if _ERA[0] <= abs(n) // 1000 < _ERA[1]:
+        out.append(("epoch_ns", n // 1000, 0, True))
+    return out
+
+
+def readings(value: str, zone: str | None) -> tuple[list[tuple[str, int, int | None, bool]], str | None, str | None]:
+    """All readings (notation, local time, offset, instant) of one value, the notation's family, and a problem if none.
 
-    Local times count microseconds from 1970-01-01 00:00 on the writer's clock; both readings are equal unless
-    the notation is ``slash``. Runs of blanks are read as one, and a value may have any length. ``offset`` is null without a written zone; an ``instant`` needs no zone at all.
+    Local times count microseconds from 1970-01-01 00:00 on the writer's clock. ``offset`` is null without a
+    written zone; an ``instant`` needs no zone at all. Runs of blanks are read as one; a value may have any length.
     """
     low = " ".join(value.lower().split())
-    if len(low) in _DIGITS and low.isascii() and low.isdigit():
-        us = int(low) * _DIGITS[len(low)]
-        return "epoch", us, us, 0, True, None
-    for notation, (pattern, names) in _COMPILED.items():
+    out: list[tuple[str, int, int | None, bool]] = []
+    if len(low) <= 20 and low.lstrip("+-").isdigit() and low.isascii() and len(low) - len(low.lstrip("+-")) <= 1:
+        out = _digits(low)
+    for family, (pattern, names) in _COMPILED.items():
         if found := pattern.match(low):
             part = dict(zip(names, found.groups()))
             break
     else:
-        return None, None, None, None, False, "unreadable"
+        return out, "epoch" if out else None, None if out else "unreadable"
     y, d = int(part["y"]), int(part["d"])
     m = int(part["m"]) if part["m"].isdigit() else _MONTH.get(part["m"])
     if m is None:
-        return None, None, None, None, False, "unreadable"
-    if notation == "week":
+        return [], None, "unreadable"
+    if family == "week":
         try:
-            up = down = (date.fromisocalendar(y, m, d).toordinal() - _EPOCH_DAY) * _DAY_US
+            days = {family: (date.fromisocalendar(y, m, d).toordinal() - _EPOCH_DAY) * _DAY_US}
         except ValueError:
-            up = down = None
+            days = {family: None}
+    elif family in _ORDERED:
+        first, second = (m, d) if family == "slash" else (d, m)
+        days = {f"{family}_month": _midnight(y, first, second), f"{family}_day": _midnight(y, second, first)}
     else:
-        up = _midnight(y, m, d)
-        down = _midnight(y, d, m) if notation == "slash" else up
-    if up is None and down is None:
-        return notation, None, None, None, False, "no_such_date"
+        days = {family: _midnight(y, m, d)}
+    days = {n: v for n, v in days.items() if v is not None}
+    if not days:
+        return (out, "epoch", None) if out else ([], family, "no_such_date")
     hour, half = int(part.get("h") or 0), (part.get("half") or "")[:1]
     minute, second = int(part.get("mi") or 0), int(part.get("s") or 0)
     if minute > 59 or second > 59 or (not 1 <= hour <= 12 if half else hour > 23):
-        return notation, None, None, None, False, "no_such_time"
+        return (out, "epoch", None) if out else ([], family, "no_such_time")
     if half:
         hour = hour % 12 + (12 if half == "p" else 0)
     clock = ((hour * 60 + minute) * 60 + second) * 1_000_000 + int((part.get("f") or "")[:6].ljust(6, "0"))
-    offset = None
+    offsets: dict[str, int | None] = {"": None}
     if written := part.get("z"):
-        offset = _offset(written, (zone or "").split("/")[0].lower())
-        if offset is None:
-            return notation, None, None, None, False, "unknown_zone"
+        offsets = _offsets(written, (zone or "").split("/")[0].lower())
+        if not offsets:
+            return [], family, "unknown_zone"
     elif zone is not None and zone not in _ZONES:
-        return notation, None, None, None, False, "unknown_zone"
-    return notation, None if up is None else up + clock, None if down is None else down + clock, None if offset is None else offset * 60_000_000, False, None
-
-
-_ZONES = frozenset(zoneinfo.available_timezones())
+        return [], family, "unknown_zone"
+    out += [(n + tag, v + clock, None if o is None else o * 60_000_000, False) for n, v in days.items() for tag, o in offsets.items()]
+    return out, family, None
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        got = pd.DataFrame([read(v, z) for v, z in zip(pdf["value"], pdf["zone"].where(pdf["zone"].notna(), None))], columns=["notation", "month_us", "day_us", "offset_us", "instant", "problem"], index=pdf.index)
-        got = got.astype({"month_us": "Int64", "day_us": "Int64", "offset_us": "Int64", "instant": bool})
-        yield pd.concat([pdf[["tbl", "record_key", "field", "value", "zone", "locale"]], got], axis=1)
+def read(value: str, zone: str | None) -> tuple:
+    """(family, local time month first, local time day first, offset, instant, problem) of one value's first readings."""
+    found, family, problem = readings(value, zone)
+    if not found:
+        return family, None, None, None, False, problem
+    by = {n.partition("+")[0].rpartition("_")[2]: us for n, us, _, _ in found}
+    one = found[0][1] if family not in _ORDERED else None
+    return family, by.get("month", one), by.get("day", one), found[0][2], found[0][3], None
 
 
 def long_form(df: DataFrame, table: str, record: str, fields: list[str], zone: str, locale: str) -> DataFrame:
@@ -186,67 +226,113 @@ def long_form(df: DataFrame, table: str, record: str, fields: list[str], zone: s
     return rows.select("tbl", "record_key", "p.field", "p.value", "zone", "locale").where("value is not null")
 
 
-def normalise(values: DataFrame, month_first: tuple[str, ...] | None = ("en-US",), conf: Mixture = Mixture()) -> DataFrame:
+#: Values that several notations may fit. The ratio of two shares of a source depends on no other values.
+_COMPETING = r"^\s*\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|^\s*[+-]?\d+\s*$|[A-Za-z]\s*$"
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Numbers of values of a partition for each source and set of notations."""
+    n: Counter = Counter()
+    for pdf in batches:
+        for v, z, s in zip(pdf["value"], pdf["zone"].where(pdf["zone"].notna(), None), pdf["source"]):
+            if fits := readings(v, z)[0]:
+                n[s, "|".join(sorted(f[0] for f in fits))] += 1
+    yield pd.DataFrame([(s, f, c) for (s, f), c in n.items()], columns=["source", "fits", "n"])
+
+
+_CHOSEN = "tbl string, record_key string, field string, value string, zone string, notation string, posterior double, undecided boolean, local long, offset_us long, instant boolean, other_local long, other_offset_us long, other_instant boolean, problem string"
+
+
+def _choose(shares: dict[str, dict[str, float]] | None, prior, month_first: tuple[str, ...] | None, binding: bool, conf: Mixture):
+    """Arrow function: the reading of the greatest posterior, and the next one."""
+
+    def against(name: str, value: str, locale: str | None) -> bool:
+        if not binding or month_first is None:
+            return False
+        if name.startswith("epoch"):
+            return len(value.strip()) not in (10, 13, 16)
+        if name.startswith("slash"):
+            return name.startswith("slash_month") != (locale in month_first)
+        return name.startswith("dots_month")
+
+    def one(value: str, zone: str | None, locale: str | None, source: str, share: dict[str, float]) -> tuple:
+        found, family, problem = readings(value, zone)
+        if not found:
+            return family, None, False, None, None, False, None, None, False, problem
+        if len(found) == 1:
+            ranked, top = found, 1.0
+        else:
+            declared = prior(source)
+            p = [share.get(f[0], conf.base + declared.get(f[0], 0.0)) for f in found]
+            order = sorted(range(len(found)), key=lambda i: (-p[i], i))
+            ranked, top = [found[i] for i in order], p[order[0]] / sum(p)
+        kept = [f for f in ranked if not against(f[0], value, locale)]
+        best, other = (kept or ranked)[0], next((f for f in ranked if f is not (kept or ranked)[0]), (None, None, None, False))
+        undecided = len(found) > 1 and top < 1 - conf.undecided and other[1:3] != best[1:3]
+        return best[0].partition("+")[0], top, undecided, *best[1:], *other[1:], None if kept else "order"
+
+    names = ["notation", "posterior", "undecided", "local", "offset_us", "instant", "other_local", "other_offset_us", "other_instant", "problem"]
+    whole = {"local": "Int64", "offset_us": "Int64", "other_local": "Int64", "other_offset_us": "Int64", "posterior": "float64", "undecided": bool, "instant": bool, "other_instant": bool}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            null = lambda c: pdf[c].where(pdf[c].notna(), None)
+            own = [dict(x) if x is not None else {} for x in pdf["shares"]] if shares is None else [shares.get(s, {}) for s in pdf["source"]]
+            got = [one(*x) for x in zip(pdf["value"], null("zone"), null("locale"), pdf["source"], own)]
+            yield pd.concat([pdf[["tbl", "record_key", "field", "value", "zone"]], pd.DataFrame(got, columns=names, index=pdf.index).astype(whole)], axis=1)
+
+    return run
+
+
+def normalise(values: DataFrame, month_first: tuple[str, ...] | None = ("en-US",), conf: Mixture = Mixture(), binding: bool = True) -> DataFrame:
     """UTC instants of the values of :func:`long_form`.
 
-    Adds ``canonical`` (already written as ``YYYY-MM-DDTHH:MM:SS[.f]Z``), ``notation``, ``posterior`` of the chosen
-    order, ``ambiguous``, ``utc_us`` and ``problem`` (null, ``unreadable``, ``no_such_date``, ``no_such_time``,
-    ``unknown_zone`` or ``order``). ``month_first`` names the locales that declare the month-first order, all
-    others declare day first; None declares nothing and leaves the order to the mixture.
+    Returns ``tbl, record_key, field, value``, ``canonical`` (already written as ``YYYY-MM-DDTHH:MM:SS[.f]Z``), ``notation``,
+    ``posterior`` of the most likely notation, ``ambiguous``, ``utc_us``, ``other_us`` (the instant of the next likely
+    reading, null if there is none) and ``problem`` (null, ``unreadable``, ``no_such_date``, ``no_such_time``,
+    ``unknown_zone`` or ``order``). ``month_first`` names the locales that declare the month-first order, all others declare
+    day first; None declares nothing and leaves the order to the mixture.
+
+    With ``binding`` a declaration is a rule that is checked after the posterior: slash dates go by the locale, dates with dots
+    have the day first, digits alone have 10, 13 or 16 places; the most likely reading that keeps the rule stands, and a value
+    that has none is given up (``order``). Without it the posterior alone chooses.
 
     A value without zone is local to ``zone`` (UTC where that is null). A repeated local time is the earlier
-    instant, a skipped one moves forward. A reading against the declared order is given up (``order``).
-    Blank, unreadable and incomplete dates have null ``utc_us``. Rows stay as they are, repeats included.
+    instant, a skipped one moves forward. Blank, unreadable and incomplete dates have null ``utc_us``. Rows stay as they
+    are, repeats included. An empty table gives no rows.
     """
     cols = [F.col(c) for c in ("tbl", "record_key", "field", "value", "zone", "locale")]
     well_formed = F.col("locale").rlike(r"^[A-Za-z]{2,3}([-_][A-Za-z]{2})?$")
-    source = F.concat_ws("|", "tbl", "field", F.when(well_formed, F.col("locale")).otherwise(""))
-    slash = F.col("notation") == "slash"
-
-    # The mixture: one count row a source (table, field, well-formed locale).
-    of_slash = values.where(F.col("value").rlike(r"^\s*\d{1,2}/\d{1,2}/\d{4}")).select(cols).mapInPandas(_read, _READ).where(slash)
-    counts = of_slash.groupBy(source.alias("source")).agg(
-        F.count_if(F.expr("day_us is null and month_us is not null")).alias("only_month"), F.count_if(F.expr("month_us is null and day_us is not null")).alias("only_day"),
-        F.count_if(F.expr("month_us is not null and day_us is not null")).alias("both"),
-    )
+    v = values.select(*cols, F.concat_ws("|", "tbl", "field", F.when(well_formed, F.col("locale")).otherwise("")).alias("source"))
 
-    def prior(locale: str) -> float:
+    def prior(source: str) -> dict[str, float]:
         if month_first is None:
-            return 0.5
-        odds = conf.strength if locale in month_first else 1 / conf.strength
-        return odds / (1 + odds)
+            return {}
+        order = "month" if source.rpartition("|")[2] in month_first else "day"
+        return {f"slash_{order}": conf.strength, f"dash_{order}": conf.strength, "dots_day": conf.strength}
 
-    def fit(source: str, *n: int) -> float:
-        return fit_mixture(*n, prior(source.rpartition("|")[2]), conf)
+    def fit(source: str, counts: dict[str, float]) -> dict[str, float]:
+        return fit_shares({tuple(k.split("|")): n for k, n in counts.items()}, prior(source), conf)
 
-    v = values.select(cols).mapInPandas(_read, _READ).withColumn("source", source)
-    few = counts.limit(MAX_LITERAL_SOURCES + 1).collect()
+    counts = v.where(F.col("value").rlike(_COMPETING) & ~F.col("value").rlike(CANONICAL)).select("value", "zone", "source").mapInPandas(_count, "source string, fits string, n long")
+    per_source = counts.groupBy("source", "fits").agg(F.sum("n").alias("n")).groupBy("source").agg(F.collect_list(F.struct("fits", "n")).alias("counts"))  # one entry a set of notations
+    few = per_source.limit(MAX_LITERAL_SOURCES + 1).collect()
     if len(few) <= MAX_LITERAL_SOURCES:
-        shares = F.create_map(*[F.lit(x) for r in few for x in (r.source, fit(*r))])
-        v = v.withColumn("month_share", F.element_at(shares, F.col("source")) if few else F.lit(None).cast("double"))
+        chosen = v.mapInPandas(_choose({r.source: fit(r.source, {c.fits: c.n for c in r.counts}) for r in few}, prior, month_first, binding, conf), _CHOSEN)
     else:
 
-        @F.pandas_udf("double")
-        def share(source: pd.Series, m: pd.Series, d: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([fit(*x) for x in zip(source, m, d, b)])
-
-        v = v.join(counts.select("source", share("source", "only_month", "only_day", "both").alias("month_share")), "source", "left")
-    up = F.when(F.col("month_us").isNotNull(), F.col("month_share")).otherwise(0.0)
-    down = F.when(F.col("day_us").isNotNull(), 1 - F.col("month_share")).otherwise(0.0)
-    v = v.withColumn("as_month", F.when(slash & (up + down > 0), up / (up + down)))
-    by_day = F.coalesce(F.col("as_month") < 0.5, F.lit(False))
-    against = F.lit(False)
-    if month_first is not None:
-        against = F.col("as_month").isNotNull() & (by_day == F.coalesce(F.col("locale").isin(*month_first), F.lit(False)))
-    v = v.select(
-        "tbl", "record_key", "field", "value", "zone", "offset_us", "instant", F.col("value").rlike(CANONICAL).alias("canonical"),
-        F.when(slash, F.when(by_day, "slash_day").otherwise("slash_month")).otherwise(F.col("notation")).alias("notation"),
-        F.greatest("as_month", 1 - F.col("as_month")).alias("posterior"), F.expr("month_us is not null and day_us is not null").alias("two"),
-        F.when(by_day, F.col("day_us")).otherwise(F.col("month_us")).alias("local"), F.coalesce("problem", F.when(against, "order")).alias("problem"),
-    )
-    in_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("local"), F.col("zone")))
-    utc = F.when(F.col("problem").isNotNull(), None).when(F.col("offset_us").isNotNull(), F.col("local") - F.col("offset_us")).when(F.col("zone").isNull(), F.col("local")).otherwise(in_zone)
-    return v.select(
-        "tbl", "record_key", "field", "value", "canonical", "notation", "posterior",
-        F.coalesce(F.col("two") & (F.col("posterior") < 1 - conf.undecided), F.lit(False)).alias("ambiguous"), utc.cast("long").alias("utc_us"), "problem",
+        def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"source": pdf["source"], "shares": [fit(s, {c["fits"]: c["n"] for c in cs}) for s, cs in zip(pdf["source"], pdf["counts"])]})
+
+        shares = per_source.mapInPandas(fitted, "source string, shares map<string,double>")
+        chosen = v.join(shares, "source", "left").mapInPandas(_choose(None, prior, month_first, binding, conf), _CHOSEN)
+
+    def utc(local: str, offset: str, instant: str) -> Column:
+        in_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.col("zone")))
+        return F.when(F.col(instant) | (F.col(offset).isNull() & F.col("zone").isNull()), F.col(local)).when(F.col(offset).isNotNull(), F.col(local) - F.col(offset)).otherwise(in_zone).cast("long")
+
+    return chosen.select(
+        "tbl", "record_key", "field", "value", F.col("value").rlike(CANONICAL).alias("canonical"), "notation", "posterior", F.col("undecided").alias("ambiguous"),
+        F.when(F.col("problem").isNull(), utc("local", "offset_us", "instant")).alias("utc_us"), utc("other_local", "other_offset_us", "other_instant").alias("other_us"), "problem",
     )

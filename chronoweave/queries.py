@@ -73,15 +73,25 @@ found as (
 """
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UTC instants of the timestamps that are not in the canonical notation yet."""
+def _time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = timestamps.long_form(load(spark, sf_dir, "extracted_fact"), "extracted_fact", "fact_id", ["valid_at", "invalid_at"], "client_zone", "client_locale")
     episodes = timestamps.long_form(load(spark, sf_dir, "episode"), "episode", "uuid", ["reference_time"], "client_zone", "client_locale")
-    values = facts.unionByName(episodes).where(~F.col("value").rlike(timestamps.CANONICAL))
+    return facts.unionByName(episodes)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTC instants of the timestamps that are not in the canonical notation yet; declared orders bind."""
+    values = _time_values(spark, sf_dir).where(~F.col("value").rlike(timestamps.CANONICAL))
     return timestamps.normalise(values).where("utc_us is not null").select("tbl", "record_key", "field", "utc_us").distinct()
 
 
-QUERIES = graph_queries.QUERIES | {"p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found}
+def p5_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every timestamp with its most likely reading, the next one, and what is wrong with those that have none."""
+    read = timestamps.normalise(_time_values(spark, sf_dir), binding=False)
+    return read.select("tbl", "record_key", "field", "value", "notation", F.round("posterior", 6).alias("posterior"), "ambiguous", "utc_us", "other_us", "problem").distinct()
+
+
+QUERIES = graph_queries.QUERIES | {"p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_normalised": p5_normalised}
 ORACLE = graph_queries.ORACLE | {
     "p3_found": _P3_SQL,
     "p4_found": _P4_CTE + "select * from found",

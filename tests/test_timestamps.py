@@ -76,3 +76,48 @@ def test_long_values():
         notation, month, day, offset, _, problem = T.read(value, None)
         assert (notation, offset, problem) == ("iso", 0, None) and month == day == us(2024, 3, 5, 10, 20, 30)
     assert T.read("x" * 100_000, None)[-1] == "unreadable"
+
+
+def read_freely(spark, cases):
+    return {int(r.record_key): r for r in T.normalise(values(spark, cases), binding=False).collect()}
+
+
+@pytest.mark.parametrize("locale,evidence,both,want", [
+    ("en-US", "{:02d}/03/2024", "04/05/2024", us(2024, 5, 4)), ("en-GB", "03/{:02d}/2024", "04/05/2024", us(2024, 4, 5)),
+    ("de-DE", "03.{:02d}.2024", "04.05.2024", us(2024, 4, 5)), ("en-US", "{:02d}-03-2024", "04-05-2024", us(2024, 5, 4)),
+])
+def test_a_source_is_read_as_it_writes(spark, locale, evidence, both, want):
+    cases = [(both, None, locale, None)] * 40 + [(evidence.format(d), None, locale, None) for d in range(13, 28)]
+    got = read_freely(spark, cases)
+    assert got[0].utc_us == want and got[0].posterior > 0.9 and not got[0].ambiguous and got[0].other_us not in (None, want)
+    assert all(got[i].problem is None for i in got)
+    alone = read_freely(spark, cases[:1])[0]  # without the source's other values the declaration decides
+    assert alone.utc_us == got[0].other_us and not alone.ambiguous
+
+
+def test_the_fit_overcomes_a_declaration():
+    assert T.fit_mixture(0, 100_000, 100_000, 1.0) < 0.001 and T.fit_mixture(0, 5, 100_000, 1.0) < 0.5 < T.fit_mixture(0, 0, 100_000, 1.0)
+
+
+def test_ambiguity_keeps_both_instants(spark):
+    cases = [(f"{d:02d}/03/2024", None, "xx", None) for d in range(13, 17)] + [(f"03/{d:02d}/2024", None, "xx", None) for d in range(13, 18)] + [("04/05/2024", "Europe/Berlin", "xx", None), ("2024-03-05 10:00 CST", None, "xx", None)]
+    got = read_freely(spark, cases)
+    mixed, zone = got[len(cases) - 2], got[len(cases) - 1]
+    assert mixed.ambiguous and {mixed.utc_us, mixed.other_us} == {us(2024, 4, 4, 22), us(2024, 5, 3, 22)}
+    assert zone.ambiguous and {zone.utc_us, zone.other_us} <= {us(2024, 3, 5, 16), us(2024, 3, 5, 2), us(2024, 3, 5, 0, 30)}
+
+
+def test_digits_of_a_source(spark):
+    stamps = [(f"202403{d}1020", None, "en-GB", None) for d in range(10, 29)]
+    assert read_freely(spark, stamps)[0].ambiguous  # fits a count of milliseconds in 1976 just as well
+    got = read_freely(spark, [*stamps, *[(f"202403{d}102030", None, "en-GB", None) for d in range(10, 29)]])
+    assert got[0].utc_us == us(2024, 3, 10, 10, 20) and got[0].notation == "stamp" and not got[0].ambiguous
+    got = read_freely(spark, [("1682120241004573123", None, None, None), ("-682120241", None, None, None), ("123456789", None, None, None), ("5", None, None, None)])
+    assert (got[0].utc_us, got[1].utc_us, got[2].utc_us, got[3].problem) == (1682120241004573, -682120241000000, 123456789000000, "unreadable")
+
+
+def test_many_sources_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_LITERAL_SOURCES", 1)
+    cases = [("04/05/2024", None, "en-US", None)] + [(f"{d:02d}/03/2024", None, "en-US", None) for d in range(13, 28)] + [("04/05/2024", None, "en-GB", None)]
+    got = read_freely(spark, cases)
+    assert got[0].utc_us == us(2024, 5, 4) == got[len(cases) - 1].utc_us
