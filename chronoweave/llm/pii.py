@@ -2,13 +2,16 @@
 
 Text is cut into tokens; runs that have the form of a mail address, a number or a street with a house
 number are one token each, so their extent is a matter of form and their kind a matter of context. A
-linear-chain CRF over tokens looks at words and word classes around a token. Equal rare words of a document
-are joined by skip edges: they share a potential that favours the same reading, and loopy belief
-propagation alternates between the chain and the skip edges. Names are labelled by begin and inside.
+linear-chain CRF over tokens looks at words and word classes around a token. Equal or similar rare words and equal
+long numbers of a document are joined by skip edges: they share a learned potential over pairs of labels, and loopy
+belief propagation alternates between the chain and the skip edges. Names are labelled by begin and inside.
 
 No labels are given, so the model is trained on labels of its own: forms, trigger words and the list of
 given names label a bounded sample of texts, contexts that mostly precede listed names are applied to
-unlisted ones, and the CRF generalises from there. Training and inference run over padded batches in numpy.
+unlisted ones. In every other round of training the trigger words are hidden from the field while the labels stay, so it
+has to learn what else tells a mention, and it labels texts that the rules cannot. What decides which word is everyday,
+which context a trigger and which word a given name is counted over all distinct texts. Training and inference run over
+padded batches in numpy.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.plans.scratch import Scratch
+
 LABELS = ("O", "email", "phone", "id_number", "street_address", "B", "I")
 O, EMAIL, PHONE, ID, STREET, B, I = range(7)
 KINDS = {EMAIL: "email", PHONE: "phone", ID: "id_number", STREET: "street_address"}
@@ -32,17 +37,28 @@ KINDS = {EMAIL: "email", PHONE: "phone", ID: "id_number", STREET: "street_addres
 
 @dataclass(frozen=True)
 class Field:
-    """``sample``: texts to learn from; ``epochs``, ``batch``, ``rate``: of training; ``common``: texts of the sample in
-    which a word must occur to be an everyday word; ``vocabulary``: most words with weights of their own; ``skip``:
-    log potential of a skip edge; ``sweeps``: rounds of belief propagation; ``decay``: of the weights."""
-
-    sample: int = 3000
-    epochs: int = 6
+    """``sample``: most texts to learn weights from; ``epochs``, ``batch``, ``rate``: of training; ``hide``: chance that a
+    trigger word is hidden in a round of training that hides them, and ``drop`` that any other word is; ``common``: share of the texts in which a word must occur
+    to be an everyday word (and at least ``common_rows`` texts); ``trigger`` and ``given``: the same for contexts of names and
+    for given names beyond the list, so what the driver holds is bounded whatever the corpus; ``vocabulary``: most words with
+    weights of their own; ``skip``: log potential that a skip edge starts from; ``partners``: so many copies of a word count
+    in full; ``sweeps``: rounds of belief propagation; ``decay``: of the weights."""
+
+    sample: int = 2000
+    epochs: int = 8
     batch: int = 250
     rate: float = 0.1
-    common: int = 6
+    hide: float = 0.8
+    drop: float = 0.15
+    common: float = 0.002
+    common_rows: int = 6
+    trigger: float = 0.0005
+    trigger_rows: int = 4
+    given: float = 0.0001
+    given_rows: int = 2
     vocabulary: int = 8000
     skip: float = 0.8
+    partners: int = 3
     sweeps: int = 3
     decay: float = 1e-4
     seed: int = 5
@@ -194,33 +210,79 @@ def _after(t: Tokens, end: int) -> tuple[str, str, str]:
     return (">", *(t.words[end : end + 2] + [""] * 2)[:2])
 
 
-def find_triggers(texts: list[tuple[Tokens, list[int]]]) -> frozenset[tuple[str, str, str]]:
-    """Pairs of words that mostly stand before (``<``) or after (``>``) what reads like a name, if that is a listed one."""
-    seen, named = Counter(), Counter()
-    for t, cls in texts:
-        for i in range(len(cls)):
-            if t.types[i] != "word" or (end := _name_at(cls, i, False)) == i:
+def word_counts(docs: Iterable[Tokens]) -> tuple[Counter, Counter]:
+    """In how many texts each word occurs, and how often each plain word occurs."""
+    texts, total = Counter(), Counter()
+    for d in docs:
+        texts.update({w for w, kind in zip(d.words, d.types) if kind in ("word", "number", "other")})
+        total.update(plain(w) for w, kind in zip(d.words, d.types) if kind == "word" and len(w) > 1)
+    return texts, total
+
+
+def name_contexts(docs: Iterable[Tokens], given: frozenset[str], common: frozenset[str]) -> tuple[Counter, Counter]:
+    """Counts of (context, listed, given name) of what reads like a name, and of (context before, word) of what may open one."""
+    names, openers = Counter(), Counter()
+    for t in docs:
+        cls = [class_of(k, w, r, given, common) for k, w, r in zip(t.types, t.words, t.raw)]
+        for i, w in enumerate(t.words):
+            if t.types[i] != "word":
+                continue
+            if len(w) > 1 and t.raw[i][0].isupper() and i + 1 < len(cls) and (cls[i + 1] in _IS_RARE or cls[i + 1] in _IS_SINGLE):
+                openers[_before(t, i), plain(w)] += 1
+            if (end := _name_at(cls, i, False)) == i:
                 continue
             listed = _name_at(cls, i, True) > i
+            slot = plain(t.words[i + 2] if i + 2 < end and t.raw[i + 1] == "," else w)
             for context in (_before(t, i), _after(t, end)):
                 if any(context[1:]) and not (context[0] == ">" and context[1] in ",.;"):
-                    seen[context] += 1
-                    named[context] += listed
-    return frozenset(c for c, n in named.items() if n >= 4 and n >= 0.6 * seen[c])
+                    names[context, listed, slot] += 1
+    return names, openers
 
 
-def learn_given(texts: list[tuple[Tokens, list[int]]], triggers: frozenset[tuple[str, str, str]]) -> frozenset[str]:
+def find_triggers(names: Counter, learned: frozenset[str], least: float) -> frozenset[tuple[str, str, str]]:
+    """Pairs of words that mostly stand before (``<``) or after (``>``) what reads like a name, if that is a known one."""
+    seen, named = Counter(), Counter()
+    for (context, listed, slot), n in names.items():
+        seen[context] += n
+        named[context] += n * (listed or slot in learned)
+    return frozenset(c for c, n in named.items() if n >= least and n >= 0.6 * seen[c])
+
+
+def learn_given(openers: Counter, total: Counter, triggers: frozenset[tuple[str, str, str]], least: float) -> frozenset[str]:
     """Words that often open a name after a trigger: given names that the list lacks."""
-    total, opened = Counter(), Counter()
-    for t, cls in texts:
-        for i, w in enumerate(t.words):
-            if t.types[i] == "word" and len(w) > 1:
-                total[plain(w)] += 1
-                follows = i + 1 < len(cls) and (cls[i + 1] in _IS_RARE or cls[i + 1] in _IS_SINGLE)
-                opened[plain(w)] += t.raw[i][0].isupper() and follows and _before(t, i) in triggers
-    return frozenset(w for w, n in opened.items() if n >= 2 and n >= 0.2 * total[w])
+    opened = Counter()
+    for (context, word), n in openers.items():
+        opened[word] += n * (context in triggers)
+    return frozenset(w for w, n in opened.items() if n >= least and n >= 0.2 * total[w])
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """What all texts say: everyday words, given names (the list's and learned ones) and contexts of names."""
+
+    given: frozenset[str]
+    common: frozenset[str]
+    triggers: frozenset[tuple[str, str, str]]
 
 
+def everyday(texts: Counter, given: frozenset[str], n: int, conf: Field) -> frozenset[str]:
+    return frozenset(w for w, k in texts.items() if k >= max(conf.common_rows, conf.common * n) and plain(w) not in given)
+
+
+def statistics(docs: list[Tokens], given: frozenset[str], conf: Field = Field()) -> Statistics:
+    """The statistics of texts in memory; :func:`find_mentions` counts the same over a table."""
+    texts, total = word_counts(docs)
+    common = everyday(texts, given, len(docs), conf)
+    names, openers = name_contexts(docs, given, common)
+    learned: frozenset[str] = frozenset()
+    for _ in range(2):  # triggers show given names outside the list, these show more triggers
+        triggers = find_triggers(names, learned, max(conf.trigger_rows, conf.trigger * len(docs)))
+        learned = learn_given(openers, total, triggers, max(conf.given_rows, conf.given * len(docs)))
+    given |= learned
+    return Statistics(given, everyday(texts, given, len(docs), conf), triggers)
+
+
+_NAMELESS = np.array([B if x == I else x for x in range(len(LABELS))])
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 PAIRS = ((0, 1), (-1, 0), (0, 2), (-2, 0))
 
@@ -238,11 +300,57 @@ def by_length(docs: list[Tokens], most: int, tokens: int = 100_000) -> Iterator[
         at = end
 
 
+def _merge_similar(at: dict[str, list[int]]) -> dict[str, list[int]]:
+    """Position lists with those of similar words joined, by shared forms with one letter left out."""
+    root = {w: w for w in at}
+
+    def find(w: str) -> str:
+        while root[w] != w:
+            root[w] = w = root[root[w]]
+        return w
+
+    first: dict[str, str] = {}
+    for w in at:
+        bare = w.removesuffix("'s").removesuffix("’s")
+        forms = {bare} if w[0] == "#" or len(bare) < 5 else {bare, *(bare[:i] + bare[i + 1 :] for i in range(len(bare)))}
+        for f in forms if w[0] != "#" else ():
+            other = first.setdefault(f, w)
+            if other != w:
+                root[find(w)] = find(other)
+    out: dict[str, list[int]] = defaultdict(list)
+    for w, ts in at.items():
+        out[find(w)] += ts
+    return out
+
+
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+def _with_copies(docs: list[Tokens], labels: list[list[int]], rng: np.random.Generator) -> tuple[list[Tokens], list[list[int]]]:
+    """Each text followed by copies of its mentions between ordinary words of its own, where no context tells what they are."""
+    out, named = [], []
+    for d, own in zip(docs, labels):
+        n = len(own)
+        take, got = list(range(n)), list(own)
+        plain_at = [i for i in range(n) if own[i] == O and d.types[i] == "word" and d.raw[i].islower()]
+        i = 0
+        while i < n:
+            end = i + 1
+            while own[i] == B and end < n and own[end] == I:
+                end += 1
+            if own[i] != O:
+                between = [plain_at[j] for j in rng.integers(0, len(plain_at), 2)] if plain_at else []
+                take += [*range(i, end), *between]
+                got += [*own[i:end], *[O] * len(between)]
+            i = end
+        pick = lambda x: [x[j] for j in take]
+        out.append(Tokens(pick(d.spans), pick(d.types), pick(d.words), pick(d.raw)))
+        named.append(got)
+    return out, named
+
+
 class Crf:
     """Weights and batch inference of the chain; positions are right-padded, ``mask`` tells tokens from padding."""
 
@@ -252,11 +360,18 @@ class Crf:
         k, c = len(LABELS), len(CLASSES)
         z = lambda *s: np.zeros(s, np.float32)
         self.w = {"words": z(len(OFFSETS), len(words) + 1, k), "classes": z(len(OFFSETS), c, k), "pairs": z(len(PAIRS), c * c, k), "trans": z(k, k), "start": z(k)}
+        same = _NAMELESS[:, None] == _NAMELESS[None, :]
+        self.skip = conf.skip * same.astype(np.float64)
         self.allowed = np.zeros((k, k), np.float32)
         self.allowed[[a for a in range(k) if a not in (B, I)], I] = -1e4
         self.no_start = np.where(np.arange(k) == I, -1e4, 0).astype(np.float32)
 
-    def encode(self, docs: list[Tokens]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hideable(self) -> frozenset[str]:
+        """Words by which the rules tell mentions."""
+        return frozenset(w for c in self.triggers for w in c[1:] if w.isalpha()) | ID_WORDS | PHONE_WORDS | TITLES
+
+    def encode(self, docs: list[Tokens], hidden: frozenset[str] = frozenset(), rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers, classes and mask; ``hidden`` words lose their number and class by ``conf.hide``, others the number by ``conf.drop``."""
         top = max((len(d.words) for d in docs), default=0)
         wid, cls = np.zeros((len(docs), top), np.int32), np.zeros((len(docs), top), np.int32)
         mask = np.zeros((len(docs), top), bool)
@@ -267,6 +382,10 @@ class Crf:
                 if got is None:
                     got = known[kind, raw] = (self.vocab.get(w, 0), class_of(kind, w, raw, self.given, self.common))
                 wid[r, t], cls[r, t] = got
+                if hidden and kind == "word" and rng.random() < (self.conf.hide if w in hidden else self.conf.drop):
+                    wid[r, t] = 0
+                    if w in hidden:
+                        cls[r, t] = _CLASS["w_lower_common"]
             mask[r, : len(d.words)] = True
         return wid, cls, mask
 
@@ -313,16 +432,19 @@ class Crf:
         conf, k = self.conf, len(LABELS)
         rng = np.random.default_rng(conf.seed)
         square = {n: np.full_like(w, 1e-6) for n, w in self.w.items()}
-        batches = list(by_length(docs, conf.batch))
-        encoded = [self.encode([docs[i] for i in b]) for b in batches]
-        for _ in range(conf.epochs):
+        versions = []
+        for hidden, (ds, ls) in ((self.hideable(), _with_copies(docs, labels, rng)), (frozenset(), (docs, labels))):
+            parts = list(by_length(ds, conf.batch))
+            versions.append([([ds[i] for i in b], [ls[i] for i in b], self.encode([ds[i] for i in b], hidden, rng)) for b in parts])
+        for epoch in range(conf.epochs):
+            batches = versions[epoch % 2]
             for at in rng.permutation(len(batches)):
-                wid, cls, mask = encoded[at]
+                _, gold_of, (wid, cls, mask) = batches[at]
                 if not wid.shape[1]:
                     continue
                 gold = np.zeros(wid.shape, int)
-                for r, i in enumerate(batches[at]):
-                    gold[r, : len(labels[i])] = labels[i]
+                for r, own in enumerate(gold_of):
+                    gold[r, : len(own)] = own
                 e = self.emissions(wid, cls)
                 logm, pair, _ = self.marginals(e, mask)
                 diff = (np.eye(k, dtype=np.float32)[gold] - np.exp(np.minimum(logm, 0))) * mask[:, :, None]
@@ -339,45 +461,81 @@ class Crf:
                 grads["trans"] -= pair.astype(np.float32)
                 grads["start"] += diff[:, 0].sum(0)
                 for n, w in self.w.items():
-                    g = grads[n] / len(batches[at]) - conf.decay * w
+                    g = grads[n] / len(gold_of) - conf.decay * w
                     square[n] += g * g
                     w += conf.rate * g / np.sqrt(square[n])
 
+        self._fit_skip(versions[0])
+
+    def _fit_skip(self, batches: list, rounds: int = 60) -> None:
+        """Potential over the labels at the two ends of a skip edge: likelihood of the pairs given the chain's marginals
+        without trigger words, with the starting value as prior."""
+        left, right, ends = [], [], []
+        for ds, ls, (wid, cls, mask) in batches:
+            groups = self.skips(ds, cls)
+            rows = sorted({r for r, _ in groups})
+            if not rows:
+                continue
+            logm, _, _ = self.marginals(self.emissions(wid[rows], cls[rows]), mask[rows])
+            at = {r: i for i, r in enumerate(rows)}
+            for r, ts in groups:
+                left.append(logm[at[r], ts[:-1]])
+                right.append(logm[at[r], ts[1:]])
+                ends += [(ls[r][a], ls[r][b]) for a, b in zip(ts[:-1], ts[1:])]
+        if not ends:
+            return
+        alone = np.concatenate(left)[:, :, None] + np.concatenate(right)[:, None, :]
+        seen = np.zeros_like(self.skip)
+        np.add.at(seen, tuple(np.array(ends).T), 1.0)
+        seen, start = (seen + seen.T) / 2, self.skip.copy()
+        tie = (_NAMELESS[:, None] == _NAMELESS[None, :]).astype(np.float64)
+        for _ in range(rounds):
+            p = alone + self.skip
+            p = np.exp(p - p.max(axis=(1, 2), keepdims=True))
+            want = (p / p.sum(axis=(1, 2), keepdims=True)).sum(0)
+            # Both labels of a name are one entity label here: a name's parts may stand in any order.
+            step = tie @ (seen - (want + want.T) / 2) @ tie.T
+            self.skip += 0.5 * (step - (self.skip - start)) / (1 + len(ends) / 10)
+
     def skips(self, docs: list[Tokens], cls: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Groups of positions with the same rare or given word, per text."""
+        """Groups of positions, per text, with the same or a similar rare or given word, or with the same long number.
+
+        Similar are words of five letters or more that one edit or a genitive s tells apart."""
         out = []
         for r, d in enumerate(docs):
             at = defaultdict(list)
             for t, w in enumerate(d.words):
                 if cls[r, t] in _IS_RARE or (cls[r, t] in _IS_GIVEN and len(w) > 1):
                     at[plain(w)].append(t)
-            out += [(r, np.array(ts)) for ts in at.values() if len(ts) > 1]
+                elif d.types[t] == "number" and len(digits := "".join(c for c in d.raw[t] if c.isalnum())) >= 6:
+                    at["#" + digits].append(t)
+            if len(at) > 1:
+                at = _merge_similar(at)
+            out += [(r, np.sort(np.array(ts))) for ts in at.values() if len(ts) > 1]
         return out
 
-    def predict(self, docs: list[Tokens]) -> list[list[int]]:
-        """Labels of greatest belief, made consistent along the chain."""
+    def predict(self, docs: list[Tokens], skip: bool = True) -> list[list[int]]:
+        """Labels of greatest belief, made consistent along the chain and, with ``skip``, between its copies of words."""
         wid, cls, mask = self.encode(docs)
         if not wid.size:
             return [[] for _ in docs]
         e = self.emissions(wid, cls)
-        groups = self.skips(docs, cls)
-        logm, _, _ = self.marginals(e, mask)
+        groups = self.skips(docs, cls) if skip else []
         if groups:
             rows = sorted({r for r, _ in groups})
             slot = {r: i for i, r in enumerate(rows)}
-            base, live = e[rows], mask[rows]
-            name = np.isin(np.arange(len(LABELS)), (B, I))
-            belief = np.exp(logm[rows])
+            base, live = e[rows].astype(np.float64), mask[rows]
+            sent = np.zeros_like(base)
             for _ in range(self.conf.sweeps):
-                sent = np.zeros_like(base)
+                logm, _, _ = self.marginals(base + sent, live)
+                new = np.zeros_like(base)
                 for r, ts in groups:
-                    p = belief[slot[r], ts][:, name].sum(1)  # belief that the word is part of a name
-                    grow = np.exp(self.conf.skip)
-                    to_name, to_other = np.log(p * grow + (1 - p)), np.log((1 - p) * grow + p)
-                    sent[slot[r], ts] += np.where(name, (to_name.sum() - to_name)[:, None], (to_other.sum() - to_other)[:, None])
-                again, _, _ = self.marginals(base + sent, live)
-                belief = np.exp(again)
-            logm[rows] = again
+                    own = logm[slot[r], ts] - sent[slot[r], ts]  # without what the group said itself
+                    own -= _logsumexp(own, 1)[:, None]
+                    says = _logsumexp(own[:, :, None] + self.skip[None], 1)
+                    says -= _logsumexp(says, 1)[:, None]
+                    new[slot[r], ts] += (says.sum(0) - says) * min(1.0, self.conf.partners / (len(ts) - 1))
+                sent = new
             e = e.copy()
             e[rows] = base + sent
         return self._decode(e, mask)
@@ -402,25 +560,26 @@ class Crf:
         return [list(out[r, : mask[r].sum()]) for r in range(n)]
 
 
-def train(texts: list[str], given: frozenset[str], conf: Field = Field()) -> Crf:
-    """A field learned from the texts themselves."""
+def train_field(texts: list[str], known: Statistics, conf: Field = Field()) -> Crf:
+    """A field learned from the texts, labelled by the rules."""
     docs = [tokenize(t) for t in texts]
-    seen = Counter(w for d in docs for w in {w for w, kind in zip(d.words, d.types) if kind in ("word", "number", "other")})
-    everyday = frozenset(w for w, n in seen.items() if n >= conf.common)
-    words = [w for w, n in seen.most_common(conf.vocabulary) if n >= 3]
-    triggers: frozenset = frozenset()
-    for _ in range(2):  # triggers show given names outside the list, these show more triggers
-        common = everyday - {w for w in everyday if plain(w) in given}
-        labelled = [(d, [class_of(k, w, r, given, common) for k, w, r in zip(d.types, d.words, d.raw)]) for d in docs]
-        triggers = find_triggers(labelled)
-        given |= learn_given(labelled, triggers)
-    common = everyday - {w for w in everyday if plain(w) in given}
-    crf = Crf(words, given, common, triggers, conf)
+    seen, _ = word_counts(docs)
+    crf = Crf([w for w, n in seen.most_common(conf.vocabulary) if n >= 3], known.given, known.common, known.triggers, conf)
     if docs:
-        crf.fit(docs, [label(d, [class_of(k, w, r, given, common) for k, w, r in zip(d.types, d.words, d.raw)], triggers) for d in docs])
+        crf.fit(docs, [rules(d, known) for d in docs])
     return crf
 
 
+def rules(t: Tokens, known: Statistics) -> list[int]:
+    """Labels of one text by forms, triggers and the list alone."""
+    return label(t, [class_of(k, w, r, known.given, known.common) for k, w, r in zip(t.types, t.words, t.raw)], known.triggers)
+
+
+def train(texts: list[str], given: frozenset[str], conf: Field = Field()) -> Crf:
+    """A field learned from texts in memory alone."""
+    return train_field(texts, statistics([tokenize(t) for t in texts], given, conf), conf)
+
+
 def spans(t: Tokens, labels: list[int]) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the labelled mentions. The form must fit the kind: the exact check."""
     out = []
@@ -451,37 +610,116 @@ def spans(t: Tokens, labels: list[int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def mentions(texts: list[str], crf: Crf, batch: int = 256) -> list[list[tuple[str, int, int]]]:
+def mentions(texts: list[str], crf: Crf, batch: int = 256, skip: bool = True) -> list[list[tuple[str, int, int]]]:
     docs = [tokenize(t) for t in texts]
     found: list[list[tuple[str, int, int]]] = [[] for _ in docs]
     for take in by_length(docs, batch):
         part = [docs[i] for i in take]
-        for i, t, labels in zip(take, part, crf.predict(part)):
+        for i, t, labels in zip(take, part, crf.predict(part, skip)):
             found[i] = spans(t, labels)
     return found
 
 
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        texts, total = word_counts(map(tokenize, pdf["content"]))
+        yield pd.DataFrame([("text", w, n) for w, n in texts.items()] + [("total", w, n) for w, n in total.items()], columns=["kind", "word", "n"])
+
+
+def _count_contexts(given: frozenset[str], common: frozenset[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names, openers = name_contexts(map(tokenize, pdf["content"]), given, common)
+            out = [("name", *c, listed, w, n) for (c, listed, w), n in names.items()] + [("opener", *c, False, w, n) for (c, w), n in openers.items()]
+            yield pd.DataFrame(out, columns=["kind", "side", "first", "second", "listed", "word", "n"])
+
+    return run
+
+
+def table_statistics(texts: DataFrame, given: frozenset[str], n: int, scratch: Scratch, conf: Field = Field()) -> Statistics:
+    """:func:`statistics` of all texts of a table, by two passes over them and sums over the counts."""
+    words = scratch.save(texts.select("content").mapInPandas(_count_words, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    often = Counter({r.word: r.n for r in words.where((F.col("kind") == "text") & (F.col("n") >= max(conf.common_rows, conf.common * n))).select("word", "n").collect()})  # few: a share of the texts
+    common = everyday(often, given, n, conf)
+    counts = scratch.save(
+        texts.select("content").mapInPandas(_count_contexts(given, common), "kind string, side string, first string, second string, listed boolean, word string, n long")
+        .groupBy("kind", "side", "first", "second", "listed", "word").agg(F.sum("n").alias("n"))
+    )
+    context = ["side", "first", "second"]
+    totals = words.where("kind = 'total'").select("word", F.col("n").alias("total"))
+    learned: frozenset[str] = frozenset()
+    for _ in range(2):
+        known = F.col("listed") | (F.col("word").isin(*learned) if learned else F.lit(False))
+        named = counts.where("kind = 'name'").groupBy(context).agg(F.sum("n").alias("seen"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("named"))
+        named = named.where((F.col("named") >= max(conf.trigger_rows, conf.trigger * n)) & (F.col("named") >= 0.6 * F.col("seen")))
+        triggers = frozenset((r.side, r.first, r.second) for r in named.collect())
+        after = counts.where("kind = 'opener'").join(named.select(context), context, "left_semi").groupBy("word").agg(F.sum("n").alias("opened"))
+        learned = frozenset(r.word for r in after.where(F.col("opened") >= max(conf.given_rows, conf.given * n)).join(totals, "word").where("opened >= 0.2 * total").collect())
+    given |= learned
+    return Statistics(given, everyday(often, given, n, conf), triggers)
+
+
+#: A capitalised word or a long number that comes twice, by which texts with skip edges are sampled.
+_TWICE = r"(?s)\b(\p{Lu}\p{L}{3,}|\d[\d/-]{5,})\b.*\b\1\b"
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("string").alias("uuid"), F.col(text_col).cast("string").alias("content")).where("uuid is not null and content != ''").withColumn("h", F.md5("content"))
+
+
+def _text_mentions(rows: DataFrame, lexicon: DataFrame, scratch: Scratch, conf: Field) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (``h``, ``content``) and their mentions (``h``, ``pii_kind``, ``start_at``, ``end_at``)."""
+    texts = scratch.save(rows.groupBy("h").agg(F.min("content").alias("content")))
+    given = frozenset(plain(r.token) for r in lexicon.select("token").collect() if r.token)
+    n = texts.count()
+    known = table_statistics(texts, given, n, scratch, conf)
+    picked: list[str] = []
+    for part, share in ((texts, conf.sample), (texts.where(F.col("content").rlike(_TWICE)), conf.sample // 10)):
+        every = max(1, n // share)  # both shares together are at most 2.2 samples
+        picked += [r.content for r in part.where(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).select("content").limit(2 * share).collect()]
+    crf = train_field(sorted(set(picked), key=lambda t: xxhash.xxh3_64_intdigest(t)), known, conf)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = mentions(pdf["content"].tolist(), crf)
+            yield pd.DataFrame([(u, *m) for u, ms in zip(pdf["h"], got) for m in ms], columns=["h", "pii_kind", "start_at", "end_at"])
+
+    return texts, texts.mapInPandas(run, "h string, pii_kind string, start_at long, end_at long")
+
+
 def find_mentions(df: DataFrame, lexicon: DataFrame, id_col: str = "uuid", text_col: str = "content", conf: Field = Field()) -> DataFrame:
     """``uuid, pii_kind, start_at, end_at`` of all mentions; offsets in characters from 0, the end exclusive.
 
-    ``lexicon`` is the fixed list of given names (``token``), read to the driver. The sample for training is at
-    most ``2 * conf.sample`` texts, picked by a hash of the text; all texts are read for mentions, as a whole.
-    Null and empty texts and rows without an id have no mentions; repeated rows of an id give their mentions
-    once; an empty table gives no rows. Other columns are not read.
+    ``lexicon`` is the fixed list of given names (``token``), read to the driver. Weights are learned from a sample of at
+    most 2.2 times ``conf.sample`` texts, picked by a hash of the text; word statistics are of all distinct texts, and all
+    texts are read for mentions, as a whole, equal ones once. Null and empty texts and rows without an id have no mentions;
+    repeated rows of an id give their mentions once; an empty table gives no rows. Other columns are not read.
     """
-    rows = df.select(F.col(id_col).cast("string").alias("uuid"), F.col(text_col).cast("string").alias("content")).where("uuid is not null and content != ''")
-    given = frozenset(plain(r.token) for r in lexicon.select("token").collect() if r.token)
-    n = rows.count()
-    every = max(1, n // conf.sample)
-    picked = [r.content for r in rows.where(F.pmod(F.xxhash64("content"), F.lit(every)) == 0).select("content").limit(2 * conf.sample).collect()]
-    crf = train(sorted(picked, key=lambda t: xxhash.xxh3_64_intdigest(t)), given, conf)
+    scratch = Scratch(df.sparkSession, "pii")
+    rows = _rows(df, id_col, text_col)
+    _, found = _text_mentions(rows, lexicon, scratch, conf)
+    return rows.select("uuid", "h").distinct().join(found, "h").drop("h").distinct()
+
+
+def redact_texts(df: DataFrame, lexicon: DataFrame, id_col: str = "uuid", text_col: str = "content", conf: Field = Field()) -> DataFrame:
+    """``uuid, content, n_mentions``: every text with its mentions replaced by typed placeholders such as ``[EMAIL]``.
+
+    All other characters stay as they are. Rows without an id are left out, null and empty texts stay null and empty with no
+    mentions, repeated rows of an id and text are one row. An empty table gives no rows. Other columns are not read.
+    """
+    scratch = Scratch(df.sparkSession, "redact")
+    rows = _rows(df, id_col, text_col)
+    texts, found = _text_mentions(rows, lexicon, scratch, conf)
+    spans_of = found.groupBy("h").agg(F.collect_list(F.struct("pii_kind", "start_at", "end_at")).alias("spans"))  # of one text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = mentions(pdf["content"].tolist(), crf)
-            yield pd.DataFrame([(u, *m) for u, ms in zip(pdf["uuid"], got) for m in ms], columns=["uuid", "pii_kind", "start_at", "end_at"])
+            spans_ = [[] if s is None else [(m["pii_kind"], m["start_at"], m["end_at"]) for m in s] for s in pdf["spans"]]
+            yield pd.DataFrame({"h": pdf["h"], "content": [redact(t, s) for t, s in zip(pdf["content"], spans_)], "n_mentions": [len(s) for s in spans_]})
 
-    return rows.mapInPandas(run, "uuid string, pii_kind string, start_at long, end_at long").distinct()
+    clean = texts.join(spans_of, "h", "left").mapInPandas(run, "h string, content string, n_mentions long")
+    empty = df.select(F.col(id_col).cast("string").alias("uuid"), F.col(text_col).cast("string").alias("content"), F.lit(0).cast("long").alias("n_mentions")).where("uuid is not null and (content is null or content = '')")
+    return rows.select("uuid", "h").distinct().join(clean, "h").drop("h").unionByName(empty).distinct()
 
 
 def redact(text: str, found: list[tuple[str, int, int]]) -> str:

@@ -48,11 +48,17 @@ reach(id, other) as (select a, a from both_ways union select r.id, e.b from reac
 select min(other) as component_uuid, id as uuid from reach group by id
 """
 
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of personal information in the episodes' content."""
     return pii.find_mentions(load(spark, sf_dir, "episode"), load(spark, sf_dir, "name_lexicon"))
 
 
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every episode's content with typed placeholders for the mentions."""
+    return pii.redact_texts(load(spark, sf_dir, "episode"), load(spark, sf_dir, "name_lexicon"))
+
+
 def _name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity, alias = load(spark, sf_dir, "entity"), load(spark, sf_dir, "entity_alias")
     owner = bare_key(F.col("entity_uuid"), "entity")
@@ -96,5 +102,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_documents(load(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
 ORACLE = {"p1_found": _P1_SQL, "p2_found": _P2_SQL}

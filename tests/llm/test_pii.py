@@ -81,3 +81,75 @@ def test_dirty_rows(spark):
     got = pii.find_mentions(df, lex).collect()
     assert ("d", "email") in {(r.uuid, r.pii_kind) for r in got} and len(got) == len(set(got))
     assert pii.find_mentions(df.limit(0), lex).collect() == []
+
+
+def masked(t, crf, rng):
+    """The text without some trigger words, and the spans' new places."""
+    hidden, cut = crf.hideable(), []
+    for (a, b), kind, w in zip(*(lambda d: (d.spans, d.types, d.words))(pii.tokenize(t))):
+        if kind == "word" and w in hidden and rng.random() < 0.6:
+            cut.append((a, b))
+    return cut
+
+
+def f1(found, want):
+    hit = sum(len(set(f) & set(w)) for f, w in zip(found, want))
+    return 2 * hit / max(1, sum(map(len, found)) + sum(map(len, want)))
+
+
+def ablation(crf, rows):
+    """F1 of rules, chain, and chain with skip edges on texts whose triggers are hidden and whose mentions come twice."""
+    rng, texts, want = random.Random(8), [], []
+    known = pii.Statistics(crf.given, crf.common, crf.triggers)
+    for t, truth in rows:
+        rest = "".join(f" {t[a:b]} about the audit yesterday." for kind, a, b in truth if kind in ("person_name", "id_number"))
+        whole = t + rest
+        at, more = len(t), list(truth)
+        for kind, a, b in truth:
+            if kind in ("person_name", "id_number"):
+                more.append((kind, at + 1, at + 1 + b - a))
+                at += 1 + b - a + len(" about the audit yesterday.")
+        out, pos, shift, moved = [], 0, [], []
+        for a, b in masked(whole, crf, rng):
+            if not any(s < b and a < e for _, s, e in more):
+                out.append(whole[pos:a] + "the")
+                shift.append((a, 3 - (b - a)))
+                pos = b
+        off = lambda x: x + sum(d for a, d in shift if a < x)
+        moved = [(k, off(a), off(b)) for k, a, b in more]
+        texts.append("".join(out) + whole[pos:])
+        want.append(moved)
+    by_rules = [pii.spans(d, pii.rules(d, known)) for d in map(pii.tokenize, texts)]
+    return f1(by_rules, want), f1(pii.mentions(texts, crf, skip=False), want), f1(pii.mentions(texts, crf), want)
+
+
+def test_field_and_skip_edges_add_to_the_rules(world):
+    rows, crf = world
+    by_rules, chain, skip = ablation(crf, rows)
+    assert by_rules + 0.02 < chain and chain + 0.001 < skip, (by_rules, chain, skip)
+
+
+def test_similar_words_and_numbers_share_edges(world):
+    _, crf = world
+    t = pii.tokenize("Brotagru wrote, Brotagru's card and Brotagrus too; 27-123456 was 27/123456.")
+    assert sorted(len(ts) for _, ts in crf.skips([t], crf.encode([t])[1])) == [2, 3]
+    assert (crf.skip == crf.skip.T).all() or abs(crf.skip - crf.skip.T).max() < 1e-9
+
+
+def test_table_statistics_equal_those_in_memory(spark, tmp_path):
+    rng = random.Random(9)
+    texts = sorted({text(rng)[0] for _ in range(300)})
+    df = spark.createDataFrame([(t,) for t in texts], "content string").repartition(3)
+    given = frozenset(pii.plain(g) for g in GIVEN)
+    assert pii.table_statistics(df, given, len(texts), pii.Scratch(spark, "test")) == pii.statistics([pii.tokenize(t) for t in texts], given)
+
+
+def test_redacted_table(spark):
+    lex = spark.createDataFrame([(g, "given") for g in GIVEN], "token string, token_kind string")
+    rng = random.Random(10)
+    rows = [(str(i), text(rng)[0], 1) for i in range(120)]
+    rows += [("n", None, 1), ("e", "", 1), (None, "x", 1), rows[0], ("same", rows[0][1], 1), ("s", "Reach me at 🙂 q@mail.example or so", 1)]
+    got = {r.uuid: r for r in pii.redact_texts(spark.createDataFrame(rows, "uuid string, content string, n_mentions int"), lex).collect()}
+    assert len(got) == 124 and got["n"].content is None and got["e"].content == "" and got["s"].content == "Reach me at 🙂 [EMAIL] or so"
+    assert got["same"].content == got["0"].content
+    assert sum(r.n_mentions for r in got.values()) > 100 and all(r.content.count("@mail.example") == 0 for r in got.values() if r.content)
