@@ -202,6 +202,22 @@ def label(t: Tokens, cls: list[int], triggers: frozenset[tuple[str, str, str]])
     return out
 
 
+def consistent(t: Tokens, labels: list[int]) -> list[int]:
+    """The labels, with those of a phone or id number carried to its other places in the text that say nothing against it."""
+    places = defaultdict(list)
+    for i, kind in enumerate(t.types):
+        if kind == "number" and sum(c.isdigit() for c in t.raw[i]) >= 7:
+            places["".join(c for c in t.raw[i] if c.isalnum())].append(i)
+    out = list(labels)
+    for at in places.values():
+        said = {labels[i] for i in at} - {O}
+        if len(at) > 1 and len(said) == 1:
+            for i in at:
+                if not any(w.strip("-") in NEITHER_WORDS for w in t.words[max(0, i - 6) : i]):
+                    out[i] = next(iter(said))
+    return out
+
+
 def _before(t: Tokens, i: int) -> tuple[str, str, str]:
     return ("<", *([""] * 2 + t.words[max(0, i - 2) : i])[-2:])
 
@@ -566,7 +582,7 @@ def train_field(texts: list[str], known: Statistics, conf: Field = Field()) -> C
     seen, _ = word_counts(docs)
     crf = Crf([w for w, n in seen.most_common(conf.vocabulary) if n >= 3], known.given, known.common, known.triggers, conf)
     if docs:
-        crf.fit(docs, [rules(d, known) for d in docs])
+        crf.fit(docs, [consistent(d, rules(d, known)) for d in docs])
     return crf
 
 
