@@ -1,6 +1,8 @@
 import numpy as np
 
-from chronoweave.llm.neighbours import MultiIndex, nearest, visit
+from pyspark.sql import functions as F
+
+from chronoweave.llm.neighbours import MultiIndex, nearest, place, visit
 
 SCHEMA = "uuid string, v array<float>, h string, task int"
 
@@ -55,3 +57,48 @@ def test_visit_order():
     cells = visit(d1, d2, 12)
     total = (d1[:, :, None] + d2[:, None, :]).reshape(20, -1)
     assert np.allclose(np.take_along_axis(total, cells, 1), np.sort(total, axis=1)[:, :12])
+
+
+def test_recall_is_reached_without_structure(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -2)
+    want = {(i, j) for i in range(3000) for j in np.argsort(-sim[i])[:5]}
+    rows = [(str(i), v) for i, v in enumerate(x)]
+    got = {(int(r.query), int(r.neighbour)) for r in run(spark, rows, k=5)}
+    assert len(got & want) >= 0.9 * len(want)
+    exact = {(int(r.query), int(r.neighbour)) for r in run(spark, rows, k=5, conf=MultiIndex(recall=1.0))}
+    assert len(exact & want) >= len(want) - 4
+
+
+def test_some_rows_ask(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(60, 64)), 3, axis=0)  # three copies each, of which one may ask
+    rows = [(f"{i:03d}", v) for i, v in enumerate(x)]
+    whole = run(spark, rows, k=4, conf=MultiIndex(recall=1.0))
+    some = run(spark, rows, k=4, conf=MultiIndex(recall=1.0), asks=F.col("uuid") % 10 == 0)
+    assert {(r.query, r.neighbour, r.rank) for r in some} == {(r.query, r.neighbour, r.rank) for r in whole if int(r.query) % 10 == 0}
+    assert run(spark, rows, k=4, asks=F.lit(None).cast("boolean")) == []
+
+
+def test_small_tasks_and_large_grids_give_the_same(spark, monkeypatch):
+    from chronoweave.llm import neighbours as N
+
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(500, 64))
+    x = np.vstack([base, base + 0.1 * rng.normal(size=(500, 64))])
+    rows = [(f"{i:04d}", v) for i, v in enumerate(x)]
+    pairs = lambda **kw: {(r.query, r.neighbour) for r in run(spark, rows, k=3, floor=0.8, **kw)}
+    want = pairs()
+    assert len(want) >= 1000 and pairs(conf=MultiIndex(task_rows=60, task_queries=40)) == want
+    monkeypatch.setattr(N, "_SIDE", 4)
+    assert pairs(conf=MultiIndex(cell_rows=4, task_rows=100, task_queries=64)) >= {p for p in want if abs(int(p[0]) - int(p[1])) == 500}
+
+
+def test_place_counts_the_cells_before():
+    rng = np.random.default_rng(8)
+    d1, d2 = rng.random((10, 9)), rng.random((10, 7))
+    cells = visit(d1, d2, 30)
+    assert (place(d1, d2, cells[:, 20]) == 20).all()
