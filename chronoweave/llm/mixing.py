@@ -1,15 +1,19 @@
 """Mixing sources to target shares of the total size.
 
-A classifier learned from the labelled table gives each text a posterior over the target domains: naive Bayes
-over hashed words, tempered by length, with counts over all texts, times the chance that a text of a domain
-carries the label it has. Document rates then solve a nonnegative least-squares problem: expected tokens of
-every domain should equal its part of the total. Projected gradient solves it; one round is one pass over
-the documents that returns a total per domain, and a rate is recomputed from the residuals of the rounds
-before, so no rates are stored. Rates are clipped to 0 and to the source's cap of repetitions.
-
-Labels tell more than the text where both exist, so the last rounds measure real tokens per source instead
-of expected ones; copies are whole numbers by rounding with a hash of the id, shifted per source so that the
-whole copies reach the target too.
+A classifier learned from the labelled table gives each text a posterior over the target domains: naive Bayes over hashed
+words with counts over all texts, each text scored without its own counts. How much the words say is calibrated: the power of
+the likelihood is the one of least log loss on a bounded sample, down to none at all where words do not tell the
+domains apart, so a posterior is never surer than it is right. It is multiplied by the chance that a text of a domain
+carries the label it has.
+
+Document rates then solve a nonnegative least-squares problem: expected tokens of every domain should equal its part
+of the total, rates stay between 0 and the source's cap of repetitions. A document's gradient depends only on its posterior,
+so documents are summed to classes of equal label and nearly equal posteriors (a distributed pre-aggregation), and the
+projected gradient runs over the classes; there are at most ``Mix.classes`` of them. :func:`soft_report` shows what this fit
+reaches alone, in expectation and in real tokens per label.
+
+Labels tell more than expectations where both exist, so the rates of a source are then scaled until its real tokens fit;
+copies are whole numbers by rounding with a hash of the id, shifted per source so that the whole copies reach the target too.
 """
 
 from __future__ import annotations
@@ -29,18 +33,20 @@ from chronoweave.llm.tokens import VOCABULARY, encoder
 from chronoweave.plans.scratch import Scratch
 
 _WORD = re.compile(r"\w+")
-_GRID = 33
+_GRID = 257
 
 
 @dataclass(frozen=True)
 class Mix:
-    """``buckets`` of hashed words; ``mislabelled``: share of labels taken to be wrong; ``rounds`` of the soft fit and
-    ``exact_rounds`` against real tokens; ``tolerance``: relative residual at which rounds end."""
+    """``buckets`` of hashed words; ``mislabelled``: share of labels taken to be wrong; ``calibration``: most texts that
+    calibrate the classifier; ``classes``: most classes of posteriors; ``rounds`` of the projected gradient and of the scaling to
+    real tokens; ``tolerance``: relative residual at which they end."""
 
     buckets: int = 4096
     mislabelled: float = 0.02
-    rounds: int = 12
-    exact_rounds: int = 8
+    calibration: int = 2000
+    classes: int = 20000
+    rounds: int = 500
     tolerance: float = 1e-4
     vocabulary: str = VOCABULARY
 
@@ -54,12 +60,55 @@ def _bag(text: str, buckets: int, known: dict[str, int]) -> np.ndarray:
     return np.fromiter((known[w] for w in words), np.int64, len(words)) if words else out
 
 
-def rates(p: np.ndarray, cap: np.ndarray, start: float, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after projected-gradient steps; a step moves a document by its posterior times the step's vector."""
-    r = np.minimum(start, cap)
-    for s in steps:
-        r = np.clip(r + p @ s, 0, cap)
-    return r
+#: Powers of the likelihood that calibration chooses from.
+_POWERS = (0.0, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
+
+
+class Bayes:
+    """Naive Bayes over bags of hashed words, scored without a labelled text's own counts."""
+
+    def __init__(self, counts: np.ndarray, texts: np.ndarray, power: float = 1.0):
+        self.counts, self.sums, self.power = counts, counts.sum(axis=1), power
+        self.log_word = np.log((counts + 1) / (self.sums + counts.shape[1])[:, None])
+        self.log_prior = np.log((texts + 1) / (texts.sum() + len(texts)))
+
+    def words(self, bag: np.ndarray, label: int) -> np.ndarray:
+        """Log likelihood of the words in each domain."""
+        out = self.log_word[:, bag].sum(axis=1)
+        _, at, times = np.unique(bag, return_inverse=True, return_counts=True)
+        own = (self.counts[label, bag] + 1 - times[at]) / (self.sums[label] - len(bag) + self.counts.shape[1])
+        out[label] = np.log(np.maximum(own, 1e-12)).sum()
+        return out
+
+    def log_posterior(self, bag: np.ndarray, label: int, power: float | None = None) -> np.ndarray:
+        score = self.log_prior + (self.power if power is None else power) * self.words(bag, label)
+        return score - score.max() - math.log(np.exp(score - score.max()).sum())
+
+    def calibrated(self, bags: list[tuple[np.ndarray, int]]) -> Bayes:
+        loss = {p: -sum(self.log_posterior(b, s, p)[s] for b, s in bags) for p in _POWERS}
+        self.power = min(_POWERS, key=lambda p: (loss[p], p))
+        return self
+
+
+def project(p: np.ndarray, n: np.ndarray, cap: np.ndarray, goal: np.ndarray, rounds: int, tolerance: float) -> np.ndarray:
+    """Rates in [0, cap] of classes with ``n`` tokens and posteriors ``p`` whose expected tokens per domain are nearest to
+    ``goal``, by accelerated projected gradient on residuals relative to the whole."""
+    a = (p * n[:, None]) / max(goal.sum(), 1e-9)
+    want = goal / max(goal.sum(), 1e-9)
+    # In terms of r * sqrt(n) the steps of large and small classes are alike.
+    root = np.sqrt(np.maximum(n, 1e-9))
+    b = a / root[:, None]
+    reach = np.linalg.norm(b, 2) ** 2
+    x = np.clip(goal.sum() / max(n.sum(), 1e-9), 0, cap) * root
+    y, t = x, 1.0
+    for _ in range(rounds):
+        new = np.clip(y - b @ (y @ b - want) / max(reach, 1e-30), 0, cap * root)
+        if np.abs(new @ b - want).max() <= tolerance / 10:
+            x = new
+            break
+        t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        x, y, t = new, new + (t - 1) / t_new * (new - x), t_new
+    return x / root
 
 
 def largest_total(tokens: np.ndarray, share: np.ndarray, caps: np.ndarray) -> float:
@@ -68,42 +117,52 @@ def largest_total(tokens: np.ndarray, share: np.ndarray, caps: np.ndarray) -> fl
     return float(np.min(tokens[can] * caps[can] / share[can])) if can.any() else 0.0
 
 
-def mix_documents(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: float | None = None, conf: Mix = Mix()) -> DataFrame:
-    """``doc_id, source, n_tokens, rate, copies`` of the documents used, ``copies`` times each.
+@dataclass
+class _Fit:
+    """What the documents and targets say: the table of sized documents and the classes of posteriors with their rates."""
 
-    ``targets`` (``source``, ``target_share``, ``max_repeats``) is a small table of settings. Shares of sources without
-    any token are unreachable; the others keep their proportions and sum to 1. Sources that are no target
-    contribute nothing. ``total`` is in tokens; by default it is the largest that the caps allow.
+    docs: DataFrame
+    names: list[str]
+    share: np.ndarray
+    caps: np.ndarray
+    goal: np.ndarray
+    classes: pd.DataFrame
+    p: np.ndarray
+    soft: np.ndarray
+    rate: np.ndarray
 
-    Null and empty texts have no tokens and are not used, nor are rows without an id or source; rows repeating
-    an id are one text. A null or negative share is 0, a null cap is 1. Empty tables give no rows.
-    """
+
+def _fit(documents: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, total: float | None, conf: Mix) -> _Fit | None:
     spark = documents.sparkSession
     scratch = Scratch(spark, "mixing")
     wanted = sorted((r.source, max(0.0, r.target_share or 0.0), max(0, 1 if r.max_repeats is None else r.max_repeats)) for r in targets.dropDuplicates(["source"]).collect() if r.source is not None)
     names = [w[0] for w in wanted]
+    if not names:
+        return None
     number = {s: i for i, s in enumerate(names)}
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and source is not null and text != ''")
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    used = f"doc_id {id_type}, source string, n_tokens long, rate double, copies int"
-    rows = rows.where(F.col("source").isin(*names)) if names else rows.limit(0)
-    k = max(1, len(names))
+    rows = rows.where(F.col("source").isin(*names))
+    k = len(names)
 
     def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        total = np.zeros((k, conf.buckets), np.int64)
+        total = np.zeros((k, conf.buckets + 1), np.int64)  # the last column counts texts
         for pdf in batches:
             for source, text in zip(pdf["source"], pdf["text"]):
                 np.add.at(total[number[source]], _bag(text, conf.buckets, known), 1)
+                total[number[source], -1] += 1
         s, b = np.nonzero(total)
         yield pd.DataFrame({"s": s.astype("i4"), "b": b.astype("i4"), "n": total[s, b]})
 
-    counts = np.ones((k, conf.buckets))
+    counts = np.zeros((k, conf.buckets + 1))
     for r in rows.mapInPandas(word_counts, "s int, b int, n long").groupBy("s", "b").agg(F.sum("n").alias("n")).collect():
-        counts[r.s, r.b] += r.n  # at most domains x buckets rows
-    log_word = np.log(counts / counts.sum(axis=1, keepdims=True))
-    label = np.full((k, k), conf.mislabelled / max(1, k - 1))
-    np.fill_diagonal(label, 1 - conf.mislabelled)
+        counts[r.s, r.b] = r.n  # at most domains x buckets rows
+    every = max(1, int(counts[:, -1].sum()) // conf.calibration)
+    known: dict[str, int] = {}
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("source", "text").limit(2 * conf.calibration).collect()
+    bayes = Bayes(counts[:, :-1], counts[:, -1]).calibrated([(_bag(r.text, conf.buckets, known), number[r.source]) for r in some])
+    label = np.log(np.full((k, k), conf.mislabelled / max(1, k - 1)) + np.eye(k) * (1 - conf.mislabelled - conf.mislabelled / max(1, k - 1)))
 
     def posteriors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -111,105 +170,110 @@ def mix_documents(documents: DataFrame, targets: DataFrame, id_col: str = "doc_i
         for pdf in batches:
             out = []
             for source, text in zip(pdf["source"], pdf["text"]):
-                bag = _bag(text, conf.buckets, known)
-                score = log_word[:, bag].sum(axis=1) / math.sqrt(max(1, len(bag))) + np.log(label[:, number[source]])
+                score = bayes.log_posterior(_bag(text, conf.buckets, known), number[source]) + label[number[source]]
                 p = np.exp(score - score.max())
                 out.append((p / p.sum()).astype("f4").tolist())
             yield pdf[["doc_id", "source"]].assign(n_tokens=[len(encode(t)) for t in pdf["text"]], p=out)
 
     sized = rows.mapInPandas(posteriors, f"doc_id {id_type}, source string, n_tokens long, p array<float>")
-    docs = scratch.save(sized.groupBy("doc_id").agg(F.min_by(F.struct("source", "n_tokens", "p"), F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.*").where("n_tokens > 0"))
-    tokens = np.zeros(k)
-    for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect():
-        tokens[number[r.source]] = r.n
-    share = np.array([w[1] for w in wanted] or [0.0]) * (tokens > 0)
-    caps = np.array([float(w[2]) for w in wanted] or [0.0])
-    if not share.sum() or not tokens.sum():
-        return spark.createDataFrame([], used)
+    docs = sized.groupBy("doc_id").agg(F.min_by(F.struct("source", "n_tokens", "p"), F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.*").where("n_tokens > 0")
+    docs = scratch.save(docs)
+    # Classes of posteriors on a grid of logarithms, coarser until they are few enough for the driver.
+    for step in (4.0, 1.0, 0.25, 0.0):
+        grid = F.hash(F.transform("p", lambda x: F.round(F.log(F.greatest(x, F.lit(1e-4))) * step)))
+        by_class = docs.groupBy("source", grid.alias("class")).agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"p{i}") for i in range(k)])
+        found = by_class.limit(conf.classes + 1).toPandas()
+        if len(found) <= conf.classes or not step:
+            break
+    if not len(found):
+        return None
+    n, p, s = found["n"].to_numpy(float), found[[f"p{i}" for i in range(k)]].to_numpy(float), found["source"].map(number).to_numpy(int)
+    p = p / np.maximum(n, 1e-9)[:, None]
+    tokens = np.bincount(s, n, minlength=k)
+    share = np.array([w[1] for w in wanted]) * (tokens > 0)
+    caps = np.array([float(w[2]) for w in wanted])
+    if not share.sum():
+        return None
     share = share / share.sum()
-    size = largest_total(tokens, share, caps) if total is None else float(total)
-    start = size / tokens.sum()
-    cap_of = {s: (caps[i] if share[i] > 0 else 0.0) for s, i in number.items()}
-
-    def columns(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(pdf["p"].tolist(), float).reshape(-1, k), pdf["n_tokens"].to_numpy(float), pdf["source"].map(cap_of).to_numpy(float), pdf["source"].map(number).to_numpy(int)
-
-    steps: list[np.ndarray] = []
-    hard: list[np.ndarray] = []
-
-    def rate_of(pdf: pd.DataFrame) -> np.ndarray:
-        p, _, cap, s = columns(pdf)
-        r = rates(p, cap, start, steps)
-        for h in hard:
-            r = np.clip(r * h[s], 0, cap)
-        return r
-
-    def totals(exact: bool) -> np.ndarray:
-        """Rows: tokens of each domain at the present rates; the scale of a step."""
-
-        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            got = np.zeros((2, k))
-            for pdf in batches:
-                if len(pdf):
-                    p, n, _, s = columns(pdf)
-                    member = np.eye(k)[s] if exact else p
-                    got[0] += (n * rate_of(pdf)) @ member
-                    got[1] += n @ (member * member)
-            yield pd.DataFrame({"k": np.arange(k), "now": got[0], "scale": got[1]})
-
-        out = np.zeros((2, k))
-        for r in docs.mapInPandas(one, "k int, now double, scale double").groupBy("k").agg(F.sum("now").alias("now"), F.sum("scale").alias("scale")).collect():
-            out[:, r.k] = r.now, r.scale
-        return out
-
-    goal = size * share
+    goal = share * (largest_total(tokens, share, caps) if total is None else float(total))
+    cap = np.where(share > 0, caps, 0.0)[s]
+    soft = project(p, n, cap, goal, conf.rounds, conf.tolerance)
+    rate = soft
     for _ in range(conf.rounds):
-        now, scale = totals(False)
-        missing = goal - now
-        if np.abs(missing).max() <= conf.tolerance * size:
-            break
-        steps.append(np.where(scale > 0, missing / np.maximum(scale, 1e-9), 0.0) / 1.5)
-    for _ in range(conf.exact_rounds):
-        now, _ = totals(True)
-        if np.abs(goal - now).max() <= conf.tolerance * size:
+        now = np.bincount(s, n * rate, minlength=k)
+        if np.abs(goal - now).max() <= conf.tolerance / 100 * goal.sum():
             break
-        hard.append(np.where(now > 0, goal / np.maximum(now, 1e-9), 1.0))
+        # A source without any rate left starts again from equal rates.
+        rate = np.clip(np.where(now[s] > 0, rate * (goal / np.maximum(now, 1e-9))[s], (goal / np.maximum(tokens, 1e-9))[s]), 0, cap)
+    return _Fit(docs.withColumn("class", grid), names, share, caps, goal, found[["source", "class"]], p * n[:, None], soft, rate)
+
+
+def mix_documents(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: float | None = None, conf: Mix = Mix()) -> DataFrame:
+    """``doc_id, source, n_tokens, rate, copies`` of the documents used, ``copies`` times each.
+
+    ``targets`` (``source``, ``target_share``, ``max_repeats``) is a small table of settings. Shares of sources without
+    any token are unreachable; the others keep their proportions and sum to 1. Sources that are no target
+    contribute nothing. ``total`` is in tokens; by default it is the largest that the caps allow.
+
+    Null and empty texts have no tokens and are not used, nor are rows without an id or source; rows repeating
+    an id are one text. A null or negative share is 0, a null cap is 1. Empty tables give no rows.
+    """
+    id_type = documents.schema[id_col].dataType.simpleString()
+    used = f"doc_id {id_type}, source string, n_tokens long, rate double, copies int"
+    fit = _fit(documents, targets, id_col, text_col, source_col, total, conf)
+    if fit is None:
+        return documents.sparkSession.createDataFrame([], used)
+    k, number = len(fit.names), {s: i for i, s in enumerate(fit.names)}
+    cap_of = {s: (fit.caps[i] if fit.share[i] > 0 else 0.0) for s, i in number.items()}
+    rate_of = {(s, c): r for s, c, r in zip(fit.classes["source"], fit.classes["class"], fit.rate)}
 
     def copies(pdf: pd.DataFrame, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates, and whole copies for each shift (a column each); more shift, never fewer copies."""
-        r = rate_of(pdf)
+        r = np.array([rate_of[x] for x in zip(pdf["source"], pdf["class"])])
         u = np.array([xxhash.xxh3_64_intdigest(str(d)) / 2**64 for d in pdf["doc_id"]])
         cap = pdf["source"].map(cap_of).to_numpy(float)
         return r, np.clip(np.floor((r + u)[:, None] + shift[pdf["source"].map(number).to_numpy(int)]), 0, np.where(r > 0, cap, 0)[:, None])
 
-    # Rounding moves the totals of small sources; a shift per source that brings them back is bracketed twice.
-    low, high = np.full(k, -0.5), np.full(k, 0.5)
-    for _ in range(2):
-        grid = np.linspace(low, high, _GRID, axis=1)
-
-        def rounded(batches: Iterator[pd.DataFrame], grid: np.ndarray = grid) -> Iterator[pd.DataFrame]:
-            got = np.zeros((k, _GRID))
-            for pdf in batches:
-                if len(pdf):
-                    np.add.at(got, pdf["source"].map(number).to_numpy(int), copies(pdf, grid)[1] * pdf["n_tokens"].to_numpy(float)[:, None])
-            s, g = np.indices(got.shape)
-            yield pd.DataFrame({"s": s.ravel(), "g": g.ravel(), "n": got.ravel()})
+    # Rounding moves the totals of small sources; the shift per source that brings them back is read off a grid.
+    grid = np.tile(np.linspace(-0.5, 0.5, _GRID), (k, 1))
 
+    def rounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = np.zeros((k, _GRID))
-        for row in docs.mapInPandas(rounded, "s int, g int, n double").groupBy("s", "g").agg(F.sum("n").alias("n")).collect():
-            got[row.s, row.g] = row.n
-        best = np.abs(got - goal[:, None]).argmin(1)
-        at = np.arange(k)
-        low, high = grid[at, np.maximum(best - 1, 0)], grid[at, np.minimum(best + 1, _GRID - 1)]
-    shift = grid[at, best][:, None]
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                np.add.at(got, part["source"].map(number).to_numpy(int), copies(part, grid)[1] * part["n_tokens"].to_numpy(float)[:, None])
+        s, g = np.indices(got.shape)
+        yield pd.DataFrame({"s": s.ravel(), "g": g.ravel(), "n": got.ravel()})
+
+    got = np.zeros((k, _GRID))
+    for row in fit.docs.drop("p").mapInPandas(rounded, "s int, g int, n double").groupBy("s", "g").agg(F.sum("n").alias("n")).collect():
+        got[row.s, row.g] = row.n
+    shift = grid[np.arange(k), np.abs(got - fit.goal[:, None]).argmin(1)][:, None]
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            r, whole = copies(pdf, shift)
-            out = pdf[["doc_id", "source", "n_tokens"]].assign(rate=r, copies=whole[:, 0].astype("i4"))
-            yield out[out["copies"] > 0]
+            if len(pdf):
+                r, whole = copies(pdf, shift)
+                out = pdf[["doc_id", "source", "n_tokens"]].assign(rate=r, copies=whole[:, 0].astype("i4"))
+                yield out[out["copies"] > 0]
+
+    return fit.docs.drop("p").mapInPandas(finish, used)
+
 
-    return docs.mapInPandas(finish, used)
+def soft_report(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: float | None = None, conf: Mix = Mix()) -> DataFrame:
+    """What the soft fit alone reaches: ``source, wanted_share, expected_share`` (by posteriors) and ``real_share`` (by labels).
+
+    Nulls, repeats and empty tables as in :func:`mix_documents`; shares are of the reachable total.
+    """
+    kinds = "source string, wanted_share double, expected_share double, real_share double"
+    fit = _fit(documents, targets, id_col, text_col, source_col, total, conf)
+    if fit is None:
+        return documents.sparkSession.createDataFrame([], kinds)
+    number = {s: i for i, s in enumerate(fit.names)}
+    expected = fit.soft @ fit.p
+    real = np.bincount(fit.classes["source"].map(number), fit.soft * fit.p.sum(axis=1), minlength=len(number))
+    return documents.sparkSession.createDataFrame([(s, float(fit.share[i]), float(expected[i] / expected.sum()), float(real[i] / real.sum())) for s, i in number.items()], kinds)
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -137,10 +137,15 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(p9_mix(spark, sf_dir), load(spark, sf_dir, "mix_target"))
 
 
+def p9_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares that the fit of expected tokens reaches before labels are counted."""
+    return mixing.soft_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of template residue, filler, error pages and script notices."""
     return residue.residue_documents(load(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p2_found": p2_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p2_found": p2_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p9_soft": p9_soft, "p10_found": p10_found}
 ORACLE = {"p1_found": _P1_SQL, "p1_neighbours": _P1_LISTS_SQL, "p2_found": _P2_SQL}

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,3 +62,34 @@ def test_mixture_reaches_targets(spark):
     ids = [x.doc_id for x in mixed.collect()]
     assert len(ids) == len(set(ids)) and 901 not in ids
     assert mixing.mix_documents(docs.limit(0), targets).collect() == [] and mixing.mix_documents(docs, targets.limit(0)).collect() == []
+
+
+def test_classifier_beats_the_majority_where_words_tell_and_is_modest_where_not():
+    rng = np.random.default_rng(3)
+    buckets, k, n = 512, 3, 600
+    label = rng.choice(k, n, p=[0.6, 0.3, 0.1])
+    for told in (True, False):
+        bags = [np.unique(rng.integers(0, 80, 25) + (60 * s if told else 0)) for s in label]
+        counts = np.zeros((k, buckets))
+        for b, s in zip(bags, label):
+            counts[s, b] += 1
+        bayes = mixing.Bayes(counts, np.bincount(label, minlength=k).astype(float)).calibrated(list(zip(bags, label))[:300])
+        held = list(zip(bags, label))[300:]
+        right = np.mean([bayes.log_posterior(b, s).argmax() == s for b, s in held])
+        loss = -np.mean([bayes.log_posterior(b, s)[s] for b, s in held])
+        prior = -np.mean([bayes.log_prior[s] for _, s in held])
+        assert (right > 0.9 and loss < 0.5 * prior) if told else (bayes.power <= 0.03 and loss < prior + 0.02)
+
+
+def test_projected_gradient():
+    rng = np.random.default_rng(4)
+    p, n, goal = rng.dirichlet(np.ones(3), 50), rng.integers(1, 100, 50).astype(float), np.array([500.0, 300.0, 200.0])
+    r = mixing.project(p, n, np.full(50, 3.0), goal, 2000, 1e-6)
+    assert (r >= 0).all() and (r <= 3).all() and np.abs((r * n) @ p - goal).max() < 0.5
+
+
+def test_soft_report(spark):
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 3), ("c", 0.2, 2), ("none", 0.1, 4)], "source string, target_share double, max_repeats long")
+    rows = {r.source: r for r in mixing.soft_report(frame(spark), targets).collect()}
+    assert rows["none"].wanted_share == 0 and all(abs(rows[s].expected_share - rows[s].wanted_share) < 0.02 for s in "abc")
+    assert mixing.soft_report(frame(spark), targets.limit(0)).collect() == []
