@@ -83,8 +83,8 @@ FILLER = (
     r".{0,20}\b(?:sample|example|dummy|placeholder|filler) (?:question|answer|text|body|content|title)\b.{0,40}", r".{0,10}\breplace this (?:text|content)\b.{0,40}", r"(?:your )?(?:text|content) here\.?",
     r".{0,20}\b(?:texto|contenido) de (?:ejemplo|relleno)\b.{0,40}", r".{0,20}\btexte d['’](?:exemple|attente)\b.{0,40}", r".{0,10}\bhier steht (?:später|bald)\b.{0,40}", r".{0,20}\b(?:beispieltext|blindtext|platzhaltertext|mustertext)\b.{0,40}", r"coming soon[.!]*",
 )
-#: Words by which a writer speaks for themself or asks.
-_PERSONAL = re.compile(r"(?<![\w'])(?:i|i'm|i've|my|me|we|our|us|ich|mir|mein\w*|wir|je|j'\w*|mon|ma|mes|nous|yo|mi|me|uso|nosotros)(?![\w'])|[?`\"“”«»„]|https?://", re.I)
+#: Words by which a writer speaks for themself or asks. A site says we, so that is none.
+_PERSONAL = re.compile(r"(?<![\w'])(?:i|i'm|i've|my|me|ich|mir|mein\w*|je|j'\w*|mon|ma|mes|yo|mi|uso)(?![\w'])|[?`\"“”«»„]|https?://", re.I)
 
 _PLACEHOLDER = re.compile(r"(?=[{<\[%_$#X])(?:" + "|".join(PLACEHOLDERS) + ")")  # all start with one of these
 _UNFILLED = re.compile("|".join(f"(?:{p})" for p in UNFILLED))
@@ -123,9 +123,12 @@ def is_residue(unit: str) -> bool:
     low = low.strip(" .!")
     if repeats and not low:
         return True
-    if len(words) > 24:
-        return False
-    return bool(_FOUND.search(low) or (_HAS_SCRIPT.search(low) and _HAS_ENABLE.search(low)) or _WHOLE.fullmatch(low))
+    if _WHOLE.fullmatch(low):
+        return True
+    # The longer a sentence, the more of it must say so: a cue for each 24 words.
+    need = 1 + (len(words) - 1) // 24 if words else 1
+    cues = min(len(_HAS_SCRIPT.findall(low)), len(_HAS_ENABLE.findall(low)))
+    return cues >= need or (cues + sum(1 for _ in _FOUND.finditer(low)) if need > 1 else bool(_FOUND.search(low))) >= need
 
 
 def body_of(text: str) -> tuple[list[str], list[str]]:

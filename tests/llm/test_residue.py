@@ -89,3 +89,15 @@ def test_share_counts_all_sentences(n):
     head = ["Tables and chairs", "Lamps for the garden", "A word on delivery", "Opening hours of the shop"]
     assert R.inspect("\n".join(head + ["502 Bad Gateway"] * n))[1] == pytest.approx(n / (n + 4))
     assert R.inspect("\n".join(head + ["502 Bad Gateway"] * 3))[1] == 0
+
+
+@pytest.mark.parametrize("text", [
+    "We could not find the page.\nThe page you requested does not exist.", "You need to enable JavaScript to run our app.", "Our service is temporarily unavailable. Please try again later.",
+    "Sorry, the server that should have answered your request for this page is temporarily unavailable, which happens now and then, so please go back to where you came from and try again later.",
+])
+def test_sites_speak_as_we_and_at_length(text):
+    assert R.inspect(text)[0] == 2
+
+
+def test_writers_speak_as_i():
+    assert not R.is_residue("I get the message that the page could not be found.") and not R.is_residue("My browser says that the server did not answer in time.")
