@@ -65,7 +65,7 @@ ERRORS = (
     rf"(?:(?:http|server)\s+)?(?:status|error|fehler|erreur|code)?(?:\s+code)?[\s:#-]*[45]\d\d[\s.:()\[\]–-]*(?:{_REASON}|error|fehler|erreur)?[\s.)!]*", rf"(?:error\s*[:–-]?\s*)?{_REASON}[.!]*",
     r"(?:http )?(?:error|fehler|erreur) [45]\d\d\s*[:–-].{0,60}", r"[\w.-]+/\d+(?:\.\d+)+", r"(?:reference|request|incident|trace|ray|support|error)\s*(?:id|no\.?|number|code)?\s*[:#].{0,48}",
     r".*\b(?:oops|something went wrong|an (?:unexpected )?error (?:has )?occurred|try again later|temporarily unavailable|down for maintenance|due to maintenance)\b.*",
-    r".*\b(?:could not|cannot|can't|couldn't) be (?:found|reached|displayed|loaded)\b.*", r".*\b(?:was removed or never existed|no longer (?:exists|available)|does not exist|page you (?:requested|are looking for))\b.*",
+    r".*\b(?:could not|cannot|can't|couldn't) be (?:found|reached|displayed|loaded)\b.*", r".*\bwe (?:could not|cannot|can't|couldn't) find (?:the|that|this|your) (?:page|site|file|document)\b.*", r".*\b(?:was removed or never existed|no longer (?:exists|available)|does not exist|page you (?:requested|are looking for))\b.*",
     r".*\byour session (?:has )?(?:expired|timed out)\b.*", r"(?:please )?(?:log|sign) in to continue\b.*", r".*\bcontact (?:the|your|our) (?:site |system )?(?:administrator|webmaster|support)\b.*",
     r"(?:please )?(?:go |return )?(?:back )?to (?:the )?home ?page\.?", r"the server (?:did not|failed to|could not|is (?:too )?busy|encountered).*", r".*\byou (?:do not|don't) have (?:permission|access|rights)\b.*", r".*\b(?:please )?slow down\b.*",
     r".*\berror establishing\b.*", r"checking your browser\b.*", r".*\bbefore you continue\b.{0,5}", r".*\b(?:cannot|could not) (?:load|connect)\b.*",
