@@ -42,7 +42,7 @@ FILLERS = frozenset("the of and de du des la le les el los für und et y &".spli
 _LETTERS = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
 _DOTTED = re.compile(r"^(?:[A-Za-z]\.){2,}[A-Za-z]?\.?$")
 _LEGAL_DOTS = re.compile(r"\b(?:[A-Za-z]\.){1,3}(?:[A-Za-z]\b\.?)?", re.U)
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_CAMEL = re.compile(r"(?<=[a-z])(?<!\bMc)(?<!\bMac)(?=[A-Z])")
 _TOKEN = re.compile(r"[^\W_]+\.?")
 _DIGIT_SLIP = re.compile(r"(?<=[A-Za-z])[0135](?=[A-Za-z])")
 _PHRASES = re.compile(r"\b(?:" + "|".join(LEGAL_PHRASES) + r")\b", re.I)
@@ -106,6 +106,7 @@ def tokens_of(name: str, lexicon: Lexicon) -> tuple[list[str], bool]:
     if _DOTTED.match(text):
         text = text.replace(".", "")
     text = _LEGAL_DOTS.sub(lambda m: m[0].replace(".", "") + " " if m[0].replace(".", "").lower() in LEGAL else m[0], text)
+    text = _TOKEN.sub(lambda m: m[0].lower() if m[0].rstrip(".").lower() in LEGAL else m[0], text)  # GmbH is one word
     text = _CAMEL.sub(" ", text)
     text = _DIGIT_SLIP.sub(lambda m: {"0": "o", "1": "l", "3": "e", "5": "s"}[m[0]], text)
     text, written_out = _PHRASES.subn(" ", text)
@@ -266,9 +267,11 @@ def link_variants(surfaces: DataFrame, lexicon: DataFrame, conf: Linkage = Linka
         for pdf in batches:
             out = []
             for grp, node, toks in zip(pdf["grp"], pdf["node"], pdf["toks"]):
-                rated = [(weight(t), t.rstrip(".")) for t in set(toks)]
-                top = max(w for w, _ in rated)
-                out += [(grp, node, t, w >= 0.99 * top) for w, t in rated]
+                rated = [(weight(t), t.rstrip("."), t[-1] != "." and len(t) >= 4 and t not in lex.formal and t not in common) for t in set(toks)]
+                top = max(w for w, _, _ in rated)
+                # A rarest token may have its partner by nickname, abbreviation or contraction only; the rarest of the others cannot.
+                sure = max((w for w, _, own in rated if own), default=top)
+                out += [(grp, node, t, w >= 0.99 * top or (own and w >= 0.99 * sure)) for w, t, own in rated]
             yield pd.DataFrame(out, columns=["grp", "node", "token", "rarest"])
 
     tokens = scratch.save(nodes.select("grp", "node", "toks").mapInPandas(to_prefix, "grp string, node string, token string, rarest boolean").groupBy("grp", "node", "token").agg(F.max("rarest").alias("rarest")))
@@ -297,6 +300,11 @@ def link_variants(surfaces: DataFrame, lexicon: DataFrame, conf: Linkage = Linka
     other = keyed.select("grp", F.col("token").alias("token_b"), "gram")
     near = keyed.join(other, ["grp", "gram"]).where("token < token_b and abs(length(token) - length(token_b)) <= 2").where(F.levenshtein("token", "token_b", 2 * conf.edits) >= 0).where(F.levenshtein("token", "token_b") <= most).select("grp", "token", "token_b").distinct()
     twins = near.unionByName(near.select("grp", F.col("token_b").alias("token"), F.col("token").alias("token_b"))).unionByName(terms.select("grp", "token", F.col("token").alias("token_b")))
+    # Given names that the list takes for the same; the list is small.
+    formal = sorted({(x, y) for x in lex.formal for y in lex.formal if x != y and lex.same(x, y)})
+    if formal:
+        listed = spark.createDataFrame(formal, "token string, token_b string")
+        twins = twins.unionByName(terms.join(listed, "token").select("grp", "token", "token_b"))
     hits = prefix.select("grp", "node", "token").join(twins, ["grp", "token"]).select("grp", "node", F.col("token_b").alias("token")).distinct()
     met = hits.join(tokens.select("grp", F.col("node").alias("node_b"), "token"), ["grp", "token"]).where("node != node_b")
     cand = met.select("grp", F.least("node", "node_b").alias("node"), F.greatest("node", "node_b").alias("node_b")).distinct()
@@ -340,6 +348,12 @@ def link_variants(surfaces: DataFrame, lexicon: DataFrame, conf: Linkage = Linka
     return every.join(shared, "cluster").select("rec", "cluster")
 
 
+def record_groups(clusters: DataFrame) -> DataFrame:
+    """``rec``, ``cluster`` (its smallest record) and ``n_links``, the number of other records of the cluster: one row a record."""
+    whole = clusters.groupBy("cluster").agg(F.min("rec").alias("first"), (F.count("*") - 1).alias("n_links"))
+    return clusters.join(whole, "cluster").select("rec", F.col("first").alias("cluster"), "n_links")
+
+
 def record_pairs(clusters: DataFrame) -> DataFrame:
     """All pairs of the records of a cluster, ``rec_a < rec_b``."""
     return clusters.select("cluster", F.col("rec").alias("rec_a")).join(clusters.select("cluster", F.col("rec").alias("rec_b")), "cluster").where("rec_a < rec_b").select("rec_a", "rec_b")

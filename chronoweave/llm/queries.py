@@ -117,6 +117,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.record_pairs(_name_clusters(spark, sf_dir))
 
 
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every record that another spelling links, one row a record."""
+    return names.record_groups(_name_clusters(spark, sf_dir))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of every pack spec, filled with all documents."""
     return packing.pack_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_spec"))
@@ -147,5 +152,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_documents(load(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p2_found": p2_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p9_soft": p9_soft, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p2_found": p2_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_groups": p7_groups, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p9_soft": p9_soft, "p10_found": p10_found}
 ORACLE = {"p1_found": _P1_SQL, "p1_neighbours": _P1_LISTS_SQL, "p2_found": _P2_SQL}

@@ -58,3 +58,22 @@ def test_rarest_tokens_of_both_sides_differ(spark):
     lex = spark.createDataFrame([("robert", "robert")], "token string, formal_name string")
     got = {r.rec: r.cluster for r in N.link_variants(spark.createDataFrame(rows, "role string, rec string, grp string, surface string"), lex).collect()}
     assert "a" in got and got["a"] == got.get("b")
+
+
+def test_legal_forms_and_inner_capitals():
+    assert N.tokens_of("Silumetz Acoustics GmbH", LEX) == N.tokens_of("Silumetz Acoustics gmbh", LEX) == (["acoustics", "silumetz"], False)
+    assert "mcdonald" in N.tokens_of("Angus McDonald", LEX)[0] and N.tokens_of("WilmarraTrolutreth", LEX)[0] == ["trolutreth", "wilmarra"]
+    assert verdict("Meridian Harbour Zylograph Ltd", "Meridian Harbour Ltd") == "strong"
+
+
+def test_partners_that_no_edit_reaches_still_meet(spark):
+    # Each name's rarest token has its partner by nickname or abbreviation; the other token is frequent.
+    crowd = [("name", f"c{i}", "g", f"Dropon {chr(97 + i % 26) * 4}{chr(97 + i // 26) * 4}") for i in range(40)]
+    rows = [*crowd, ("name", "a", "g", "Corvandir Dropon"), ("name", "b", "g", "Corvy Dropon"), ("name", "h", "g", "Meridian Harbour Zylograph Ltd"), ("name", "i", "g", "Meridian Harbour Ltd")]
+    groups = link(spark, rows)
+    assert ["a", "b"] in groups and ["h", "i"] in groups
+
+
+def test_groups_have_one_row_a_record(spark):
+    rows = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", "x"), ("d", "y"), ("e", "y")], "rec string, cluster string")
+    assert sorted(map(tuple, N.record_groups(rows).collect())) == [("a", "a", 2), ("b", "a", 2), ("c", "a", 2), ("d", "d", 1), ("e", "d", 1)]
