@@ -9,29 +9,39 @@ from chronoweave.functions import decay as D
 from chronoweave.functions import text as T
 
 #: Fixed values: (word, emotion, polarity, weight).
-AFFECT = tuple(tuple(x.split(":")) for x in """frustrated:frustration:-.7:1 annoyed:frustration:-.5:.8 angry:frustration:-.8:1 stuck:frustration:-.5:.7 hate:frustration:-.7:.8 tired:fatigue:-.4:.6 exhausted:fatigue:-.7:.9
-sad:sadness:-.6:.8 worried:anxiety:-.5:.7 anxious:anxiety:-.6:.8 nervous:anxiety:-.4:.6 embarrassed:embarrassment:-.5:.7 excited:excitement:.7:.9 love:excitement:.7:.9 awesome:excitement:.7:.8 amazing:excitement:.7:.8
-winning:excitement:.6:.7 happy:joy:.7:.9 great:joy:.4:.5 proud:pride:.7:.9 confident:confidence:.6:.8 urgent:urgency:0:.9 asap:urgency:0:.9 deadline:urgency:-.2:.8 confused:uncertainty:-.3:.7 unsure:uncertainty:-.2:.6 maybe:uncertainty:-.1:.4""".split())
+AFFECT = (
+    ("frustrated", "frustration", -0.7, 1.0), ("annoyed", "frustration", -0.5, 0.8), ("angry", "frustration", -0.8, 1.0), ("stuck", "frustration", -0.5, 0.7), ("hate", "frustration", -0.7, 0.8),
+    ("tired", "fatigue", -0.4, 0.6), ("exhausted", "fatigue", -0.7, 0.9), ("sad", "sadness", -0.6, 0.8), ("worried", "anxiety", -0.5, 0.7), ("anxious", "anxiety", -0.6, 0.8), ("nervous", "anxiety", -0.4, 0.6), ("embarrassed", "embarrassment", -0.5, 0.7),
+    ("excited", "excitement", 0.7, 0.9), ("love", "excitement", 0.7, 0.9), ("happy", "joy", 0.7, 0.9), ("great", "joy", 0.4, 0.5), ("awesome", "excitement", 0.7, 0.8), ("amazing", "excitement", 0.7, 0.8), ("proud", "pride", 0.7, 0.9), ("confident", "confidence", 0.6, 0.8), ("winning", "excitement", 0.6, 0.7),
+    ("urgent", "urgency", 0.0, 0.9), ("asap", "urgency", 0.0, 0.9), ("deadline", "urgency", -0.2, 0.8), ("confused", "uncertainty", -0.3, 0.7), ("unsure", "uncertainty", -0.2, 0.6), ("maybe", "uncertainty", -0.1, 0.4),
+)
 #: Relations that say nothing about a character.
 NO_TRAIT = ("has_trait", "pursues_goal", "is_age", "has_birthday", "has_age", "is_a", "is_named", "is_called", "is_self", "is_aka", "mentions_with")
 #: Words that are no topic.
-NO_TOPIC = ("that", "this", "with", "from", "have", "were", "they", "their", "about", "there", "which", "would")
+NO_TOPIC = (
+    "have", "with", "this", "that", "from", "user", "also", "into", "their", "there", "about", "they",
+    "your", "more", "much", "some", "what", "when", "would", "could", "should", "really", "actually",
+)
+#: Memory classes that can tell a trait.
+TRAIT_CLASSES = ("objective", "preference", "style", "trait", "sentiment")
 
 
-def lexicon(df: DataFrame, extra: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
+def lexicon(df: DataFrame, extra: tuple[tuple[str, str, float, float], ...] = ()) -> DataFrame:
     rows = [(w, e, float(p), float(x)) for w, e, p, x in (*AFFECT, *extra)]
     return df.sparkSession.createDataFrame(rows, "word string, emotion string, polarity double, weight double")
 
 
 def affect(episodes: DataFrame, words: DataFrame) -> DataFrame:
-    """Strongest emotion, weighted polarity and intensity of each episode with an emotional word."""
+    """The dominant emotion of each episode with an emotional word, its weighted polarity and its intensity.
+
+    Dominant is the emotion of the greatest weight, of equal ones the first in the text; other emotions do not count.
+    Episodes without such a word, null and empty texts give no row.
+    """
     tokens = episodes.select("uuid", F.posexplode(T.all_of(F.lower("content"), "[a-z']+")).alias("pos", "word"))
     hits = tokens.join(words, "word")
     per = hits.groupBy("uuid", "emotion").agg(F.sum("weight").alias("w"), F.min("pos").alias("first"), F.sum(F.col("polarity") * F.col("weight")).alias("pw"))
-    best = Window.partitionBy("uuid").orderBy(F.desc("w"), "first")
-    whole = Window.partitionBy("uuid")
-    out = per.withColumn("_n", F.row_number().over(best)).withColumn("total", F.sum("w").over(whole)).withColumn("pol", F.sum("pw").over(whole)).where("_n = 1")
-    return out.select("uuid", "emotion", F.round(F.col("pol") / F.col("total"), 3).alias("polarity"), F.round(F.least(F.lit(1.0), F.col("total") / 2), 3).alias("intensity"))
+    out = per.groupBy("uuid").agg(F.max_by(F.struct("emotion", "w", "pw"), F.struct(F.round("w", 9), -F.col("first"))).alias("top"))
+    return out.select("uuid", "top.emotion", F.round(F.col("top.pw") / F.greatest(F.lit(1e-6), F.col("top.w")), 3).alias("polarity"), F.round(F.least(F.lit(1.0), F.col("top.w") / 2), 3).alias("intensity"))
 
 
 def reinforcement(facts: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -67,23 +77,30 @@ def associative_weights(strong: DataFrame) -> DataFrame:
 
 
 def silence(strong: DataFrame, now: Column, days: int = 30, most: int = 500, by: tuple[str, ...] = ("group_id",)) -> DataFrame:
-    """Active, unprotected, faint facts older than ``days``: of the oldest ``most`` of each ``by``, a sweep's size."""
-    old = strong.where((F.col("status") == "active") & ~D.protected(F.col("stability")) & (D.hours(now, F.col("created_at")) / 24 >= days))
+    """Faint, unprotected facts among the oldest ``most`` active ones of each ``by`` that are older than ``days``.
+
+    The sweep is taken before protected and strong facts are left out. Ties go to the smaller uuid.
+    """
+    old = strong.where((F.col("status") == "active") & (D.hours(now, F.col("created_at")) / 24 > days))
     if by:
         old = old.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("created_at", "uuid"))).where(F.col("_n") <= most)
     else:
         old = old.orderBy("created_at", "uuid").limit(most)
-    return old.where(F.col("level") < D.SILENCE).select("uuid", F.round("level", 6).alias("level"))
+    return old.where(~D.protected(F.col("stability")) & (F.col("level") < D.SILENCE)).select("uuid", F.round("level", 6).alias("level"))
 
 
 def trait_candidates(facts: DataFrame, most: int = 12) -> DataFrame:
-    """What a subject keeps doing: (relation, object) reinforced twice, relations with three facts; the strongest a subject."""
-    live = facts.where(~F.col("canonical").isin(*NO_TRAIT) & ~F.col("singleton") & (F.col("status") == "active"))
+    """What a subject keeps doing: (relation, object) reinforced twice, relations with three facts (``*``); the strongest a subject.
+
+    Beliefs, one-valued facts, facts without a relation and memory classes that tell no trait do not count. Of equally
+    strong candidates pairs come first, then the smaller relation and object.
+    """
+    live = facts.where(~F.col("canonical").isin(*NO_TRAIT) & (F.col("canonical") != "") & ~F.col("singleton") & (F.col("status") == "active") & ~F.col("is_belief") & F.col("memory_class").isin(*TRAIT_CLASSES))
     once = F.greatest(F.col("reinforcement_count"), F.lit(1))
-    by_object = live.groupBy("group_id", "subj", "canonical", "obj").agg(F.sum(once).alias("strength")).where("strength >= 2").select("group_id", "subj", "canonical", "obj", "strength")
-    by_relation = live.groupBy("group_id", "subj", "canonical").agg(F.count("*").alias("n"), F.sum(once).alias("strength")).where("n >= 3").select("group_id", "subj", "canonical", F.lit("*").alias("obj"), "strength")
-    at = Window.partitionBy("group_id", "subj").orderBy(F.desc("strength"), "canonical", "obj")
-    return by_object.unionByName(by_relation).withColumn("place", F.row_number().over(at)).where(F.col("place") <= most)
+    by_object = live.groupBy("group_id", "subj", "canonical", "obj").agg(F.sum(once).alias("strength")).where("strength >= 2").select("group_id", "subj", "canonical", "obj", "strength", F.lit(0).alias("_kind"))
+    by_relation = live.groupBy("group_id", "subj", "canonical").agg(F.count("*").alias("n"), F.sum(once).alias("strength")).where("n >= 3").select("group_id", "subj", "canonical", F.lit("*").alias("obj"), "strength", F.lit(1).alias("_kind"))
+    at = Window.partitionBy("group_id", "subj").orderBy(F.desc("strength"), "_kind", "canonical", "obj")
+    return by_object.unionByName(by_relation).withColumn("place", F.row_number().over(at)).where(F.col("place") <= most).drop("_kind")
 
 
 def interaction_patterns(episodes: DataFrame) -> DataFrame:
@@ -100,28 +117,54 @@ def dominant_patterns(patterns: DataFrame, last: int = 8, least: int = 5) -> Dat
     return top.where((F.col("hits") >= least) & (F.col("pattern") != "one_off_query")).select("group_id", "pattern", "hits", F.round(F.least(F.lit(1.0), 0.5 + 0.06 * F.col("hits")), 2).alias("confidence"))
 
 
-def consolidation(facts: DataFrame, episodes: DataFrame, key: list[str], least: int = 8, days: int = 14) -> DataFrame:
-    """Buckets of facts with many sources over a long time, their mean confidence raised, and their clearest fact."""
-    j = facts.select(*key, "uuid", "confidence", F.explode("episodes").alias("episode")).join(episodes.select(F.col("uuid").alias("episode"), "created_at"), "episode")
-    spans = j.groupBy(*key).agg(F.count_distinct("episode").alias("n_episodes"), ((F.unix_micros(F.max("created_at")) - F.unix_micros(F.min("created_at"))) / 8.64e10).alias("days"))
-    means = facts.groupBy(*key).agg(F.avg("confidence").alias("mean"), F.count("*").alias("n_facts"), F.max_by("uuid", F.struct("confidence", "uuid")).alias("clearest"))
-    out = spans.where((F.col("n_episodes") >= least) & (F.col("days") >= days)).join(means, key)
-    return out.select(*key, "n_facts", "n_episodes", F.round(F.least(F.lit(1.0), F.col("mean") + 0.1), 6).alias("confidence"), "clearest")
+def consolidation(facts: DataFrame, episodes: DataFrame, least: int = 8, days: int = 14) -> DataFrame:
+    """Fact keys with many sources over a long time: their mean confidence raised by 0.1, and their most confident fact.
+
+    ``facts`` has ``fact_key``; only active facts that are not consolidated yet and have a key count. A source counts even if its
+    episode is gone; the span is of those with a time, of which there must be two. Ties go to the smaller uuid.
+    """
+    live = facts.where("status = 'active' and stability != 'consolidated' and fact_key != ''")
+    told = live.select("group_id", "fact_key", F.explode("episodes").alias("episode")).distinct()
+    timed = told.join(episodes.select(F.col("uuid").alias("episode"), "created_at"), "episode", "left")
+    spans = timed.groupBy("group_id", "fact_key").agg(F.count("*").alias("n_episodes"), F.count("created_at").alias("n_timed"), ((F.unix_micros(F.max("created_at")) - F.unix_micros(F.min("created_at"))) / 8.64e10).alias("days"))
+    means = live.groupBy("group_id", "fact_key").agg(F.avg("confidence").alias("mean"), F.count("*").alias("n_facts"), F.min_by("uuid", F.struct(-F.col("confidence"), "uuid")).alias("clearest"))
+    out = spans.where((F.col("n_episodes") >= least) & (F.col("n_timed") >= 2) & (F.col("days") >= days)).join(means, ["group_id", "fact_key"])
+    return out.select("group_id", "fact_key", "n_facts", "n_episodes", F.round(F.least(F.lit(1.0), F.col("mean") + 0.1), 6).alias("confidence"), "clearest")
+
+
+def stagnant(strong: DataFrame, most_effective: float = 0.0, least: int = 5, most: int = 120) -> DataFrame:
+    """Buckets of at least ``least`` faded facts of a subject, memory class and domain, each told in one sentence.
+
+    Of each group the ``most`` oldest active facts that are not consolidated are looked at. The domain is the fact's, else its
+    relation, else ``misc``. The sentence names the five oldest; only these are gathered.
+    """
+    live = strong.where("status = 'active' and stability != 'consolidated'").withColumn("_n", F.row_number().over(Window.partitionBy("group_id").orderBy("created_at", "uuid"))).where(F.col("_n") <= most)
+    bucket = F.when(F.col("domain") != "", F.col("domain")).when(F.col("canonical") != "", F.col("canonical")).when(F.col("pred") != "", F.col("pred")).otherwise("misc")
+    faded = live.where((F.col("effective") <= most_effective) & ~D.protected(F.col("stability"))).withColumn("bucket", bucket)
+    said = F.when(F.trim("fact") != "", F.trim("fact")).when(F.col("pred") != "", F.col("pred"))
+    keys = ["group_id", "subj", "memory_class", "bucket"]
+    at = Window.partitionBy(*keys).orderBy("created_at", "uuid")
+    told = faded.withColumn("said", said).withColumn("_n", F.count("said").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.when(F.col("said").isNotNull() & (F.col("_n") <= 5), F.struct("_n", "said"))
+    lines = told.groupBy(*keys).agg(F.count("*").alias("n_facts"), F.count("said").alias("n_said"), F.transform(F.array_sort(F.collect_list(first)), lambda x: x["said"]).alias("lines")).where(F.col("n_facts") >= least)
+    rest = F.when(F.col("n_said") > 5, F.concat(F.lit("; and "), (F.col("n_said") - 5).cast("string"), F.lit(" related older facts"))).otherwise("")
+    summary = F.when(F.col("n_said") == 0, F.lit("Low-vitality memory cluster.")).otherwise(F.concat(F.lit("Low-vitality memory cluster: "), F.array_join("lines", "; "), rest))
+    return lines.select(*keys, "n_facts", summary.alias("summary"))
+
 
+def term_ranks(texts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The ``most`` most frequent words of four letters or more per ``keys``; ties go to the word seen first.
 
-def stagnant(strong: DataFrame, most_effective: float = 0.0, least: int = 5) -> DataFrame:
-    """Faded facts of one subject and relation, five or more, in one sentence."""
-    faded = strong.where(F.col("effective") <= most_effective)
-    lines = faded.groupBy("group_id", "subj", "canonical").agg(F.count("*").alias("n_facts"), F.transform(F.array_sort(F.collect_list(F.struct("created_at", "uuid", "fact"))), lambda x: x["fact"]).alias("lines")).where(F.col("n_facts") >= least)
-    rest = F.when(F.col("n_facts") > 5, F.concat(F.lit(" and "), (F.col("n_facts") - 5).cast("string"), F.lit(" related older facts"))).otherwise("")
-    return lines.select("group_id", "subj", "canonical", "n_facts", F.concat(F.array_join(F.slice("lines", 1, 5), "; "), rest).alias("summary"))
+    ``texts`` has ``keys``, ``text`` and an order of its rows by ``at`` and ``id``.
+    """
+    words = texts.select(*keys, "at", "id", F.posexplode(T.all_of(F.lower("text"), "[a-z]{4,}")).alias("pos", "term")).where(~F.col("term").isin(*NO_TOPIC))
+    counts = words.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min(F.struct("at", "id", "pos")).alias("first"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "first"))).where(F.col("place") <= most).drop("first")
 
 
 def top_terms(facts: DataFrame, most: int = 5) -> DataFrame:
-    """The most frequent words of four letters or more in each group's facts; ties go to the smaller word."""
-    words = facts.select("group_id", F.explode(T.all_of(F.lower("fact"), "[a-z]{4,}")).alias("term")).where(~F.col("term").isin(*NO_TOPIC))
-    counts = words.groupBy("group_id", "term").agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("n"), "term"))).where(F.col("place") <= most)
+    """The most frequent words of each group's facts, in the order of their creation."""
+    return term_ranks(facts.select("group_id", F.col("created_at").alias("at"), F.col("uuid").alias("id"), F.col("fact").alias("text")), ["group_id"], most)
 
 
 def bounded_activation(events: DataFrame, keys: list[str], at: str, weight: Column, now: Column) -> DataFrame:
@@ -159,10 +202,9 @@ def goals(episodes: DataFrame) -> DataFrame:
 
 def community_domains(members: DataFrame, facts: DataFrame, most: int = 3) -> DataFrame:
     """The most frequent words of a community's facts: ``group_id, community, domain``."""
-    rows = facts.select("group_id", F.col("subj").alias("node"), F.explode(T.all_of(F.lower("fact"), "[a-z]{4,}")).alias("term")).where(~F.col("term").isin(*NO_TOPIC))
-    counts = rows.join(members, ["group_id", "node"]).groupBy("group_id", "community", "term").agg(F.count("*").alias("n"))
-    top = counts.withColumn("_n", F.row_number().over(Window.partitionBy("group_id", "community").orderBy(F.desc("n"), "term"))).where(F.col("_n") <= most)
-    return top.groupBy("group_id", "community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"]), " ").alias("domain"))
+    rows = facts.select("group_id", F.col("subj").alias("node"), F.col("created_at").alias("at"), F.col("uuid").alias("id"), F.col("fact").alias("text")).join(members, ["group_id", "node"])
+    top = term_ranks(rows, ["group_id", "community"], most)
+    return top.groupBy("group_id", "community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), " ").alias("domain"))
 
 
 def recall_reinforcement(facts: DataFrame, recalled: DataFrame, now: Column, amount: float = 1.0) -> DataFrame:

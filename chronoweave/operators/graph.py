@@ -11,9 +11,15 @@ from chronoweave.plans.scratch import Scratch
 
 #: Tables and default visibility of the named views of a graph.
 VIEWS = {
-    "truth": ("entities relates_to", "active"), "raw": ("episodes entities relates_to", "all"), "provenance": ("episodes entities relates_to mentions", "all"), "conflicts": ("entities relates_to", "conflicts"),
-    "timeline": ("episodes relates_to", "all"), "frames": ("frames relates_to", "all"), "self": ("entities", "all"), "vitality": ("entities", "all"),
-}
+    "truth": (("entities", "relates_to"), "active"),
+    "raw": (("episodes", "entities", "relates_to"), "all"),
+    "provenance": (("episodes", "entities", "relates_to", "mentions"), "all"),
+    "conflicts": (("entities", "relates_to"), "conflicts"),
+    "timeline": (("episodes", "relates_to"), "all"),
+    "frames": (("frames", "relates_to"), "all"),
+    "self": (("entities",), "all"),
+    "vitality": (("entities",), "all"),
+}
 ROWS = (50, 1500, 10_000)  # least, default and most rows of a graph read
 
 
@@ -133,6 +139,24 @@ def duplicate_candidates(entities: DataFrame) -> DataFrame:
 
 
 def inspect_counts(facts: DataFrame) -> DataFrame:
-    """Facts per status, source type and stability, in one pass."""
-    long = facts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.coalesce(c, F.lit("unknown")).alias("value")) for c in ("status", "source_type", "stability")])).alias("p"))
+    """Facts per status, source type and memory class, in one pass."""
+    long = facts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.coalesce(c, F.lit("unknown")).alias("value")) for c in ("status", "source_type", "memory_class")])).alias("p"))
     return long.groupBy("p.kind", "p.value").agg(F.count("*").alias("n_facts"))
+
+
+def inspection(facts: DataFrame, entities: DataFrame, episodes: DataFrame, frames: DataFrame, low: float = 0.5) -> DataFrame:
+    """The counts of a graph's report per group, one row a check; groups without a case of a check have no row of it.
+
+    ``frames`` without a group count under the empty group.
+    """
+    check = lambda df, name, where="true": df.where(where).groupBy(F.coalesce("group_id", F.lit("")).alias("group_id")).agg(F.count("*").alias("n")).select("group_id", F.lit(name).alias("check"), "n")
+    of_facts = facts.groupBy(F.coalesce("group_id", F.lit("")).alias("group_id")).agg(
+        F.count_if(F.size("episodes") == 0).alias("facts_without_source_episodes"), F.count_if(F.col("confidence") < low).alias("low_confidence_facts"),
+        F.count_if(F.expr("invalid_at is null and expired_at is null and status = 'active' and valid_at is not null")).alias("open_active_facts"), F.count("*").alias("total_relates_to"),
+    )
+    names = [c for c in of_facts.columns if c != "group_id"]
+    long = of_facts.select("group_id", F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in names])).alias("p")).select("group_id", "p.check", "p.n").where("n > 0")
+    rest = [check(episodes, "cognition_backlog_unprocessed", "cognition_processed_at is null"), check(entities, "total_entity"), check(episodes, "total_episode"), check(frames, "total_relation_frame")]
+    for r in rest:
+        long = long.unionByName(r)
+    return long

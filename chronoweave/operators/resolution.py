@@ -13,18 +13,29 @@ IDENTITY = ("is_named", "is_called", "is_self", "is_aka", "mentions_with")
 FILLERS = ("world", "earth", "universe", "everywhere", "anywhere", "somewhere")
 PLACES = ("lives_in", "located_in", "from", "resides_in", "based_in")
 DECLARED = ("is_named", "is_called", "is_aka", "has_alias", "also_known_as")
-#: The frames every graph has: (name, direction, kind, cardinality, policy).
+#: The frames every graph has: (name, aliases, direction, inverse name, kind, cardinality, policy, confidence).
 DEFAULT_FRAMES = (
-    ("spouse_of", "symmetric", "state", "one_current", "replace"), ("sibling_of", "symmetric", "state", "many", "coexist"), ("friend_of", "symmetric", "state", "many", "coexist"),
-    ("parent_of", "inverse", "state", "many", "coexist"), ("child_of", "inverse", "state", "many", "coexist"), ("contains", "inverse", "state", "many", "coexist"), ("part_of", "inverse", "state", "many", "coexist"),
-    ("precedes", "inverse", "state", "many", "coexist"), ("follows", "inverse", "state", "many", "coexist"), ("lives_in", "directed", "state", "one_current", "replace"), ("works_at", "directed", "state", "one_current", "replace"),
-    ("born_in", "directed", "timeless", "one_current", "replace"), ("located_in", "directed", "state", "one_current", "replace"), ("member_of", "directed", "state", "many", "coexist"), ("owns", "directed", "state", "many", "coexist"),
-    ("owns_pet", "directed", "state", "many", "coexist"), ("is_named", "directed", "state", "many", "coexist"),
-)
+    ("spouse_of", ("wife_of", "husband_of", "married_to", "partner_of"), "symmetric", None, "state", "one_current", "replace", 0.9),
+    ("parent_of", ("father_of", "mother_of", "mom_of", "dad_of"), "inverse_pair", "child_of", "timeless", "many_current", "coexist", 0.9),
+    ("child_of", ("son_of", "daughter_of"), "inverse_pair", "parent_of", "timeless", "many_current", "coexist", 0.9),
+    ("sibling_of", ("brother_of", "sister_of"), "symmetric", None, "timeless", "many_current", "coexist", 0.9),
+    ("friend_of", ("friends_with",), "symmetric", None, "state", "many_current", "coexist", 0.7),
+    ("lives_in", ("resides_in", "based_in", "located_in", "from"), "directed", None, "state", "one_current", "replace", 0.85),
+    ("works_at", ("employed_by", "employee_of", "works_for"), "directed", None, "state", "one_current", "replace", 0.85),
+    ("member_of", ("belongs_to", "part_of"), "directed", None, "state", "many_current", "coexist", 0.7),
+    ("owns", ("has", "possesses"), "directed", None, "state", "many_current", "coexist", 0.7),
+    ("owns_pet", ("has_pet", "owns_dog", "owns_cat", "pet_is"), "directed", None, "state", "many_current", "coexist", 0.8),
+    ("is_named", ("is_called", "is_aka", "name_is", "goes_by"), "directed", None, "state", "many_current", "coexist", 0.95),
+    ("born_in", ("was_born_in", "birthplace_is"), "directed", None, "timeless", "one_current", "replace", 0.95),
+    ("located_in", ("situated_in", "found_in"), "directed", None, "state", "one_current", "replace", 0.7),
+    ("contains", ("includes", "holds"), "inverse_pair", "part_of", "state", "many_current", "coexist", 0.7),
+    ("precedes", ("before", "happens_before"), "inverse_pair", "follows", "event", "many_historical", "coexist", 0.7),
+)
 
 
 def default_frames(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(DEFAULT_FRAMES), "canonical string, direction string, temporal_kind string, cardinality string, policy string")
+    rows = [(n, list(al), *rest) for n, al, *rest in DEFAULT_FRAMES]
+    return spark.createDataFrame(rows, "canonical string, aliases array<string>, direction string, inverse_name string, temporal_kind string, cardinality string, policy string, confidence double")
 
 
 def resolve_frames(predicates: DataFrame, frames: DataFrame) -> DataFrame:
@@ -45,9 +56,17 @@ def repair(facts: DataFrame, speaker: Column) -> DataFrame:
     return kept.withColumn("subject", F.when(loop & identity, speaker).otherwise(F.col("subject")))
 
 
-def singleton_decision(operation: Column, cardinality: Column, flag: Column, from_user: Column) -> Column:
-    """Whether an assertion closes its slot."""
-    return F.when(operation.isin("qualify"), False).when(cardinality.isin("one", "one_current"), True).when(operation == "correct", from_user).otherwise(flag & from_user)
+def singleton_decision(operation: Column, cardinality: Column, flag: Column, from_user: Column, policy: Column | None = None) -> Column:
+    """Whether an assertion closes its slot.
+
+    ``cardinality`` is null where the relation has no frame; only then does the extractor's ``flag`` count, and only for what
+    the user said. A frame of one current value closes unless its ``policy`` is ``uncertain``; a qualification never does, a
+    user's correction always.
+    """
+    framed = cardinality.isNotNull()
+    unsure = F.coalesce(policy == "uncertain", F.lit(False)) if policy is not None else F.lit(False)
+    by_frame = framed & F.coalesce(cardinality.isin("one", "one_current"), F.lit(False)) & ~unsure
+    return ((operation != "qualify") & (by_frame | (~framed & flag & from_user))) | ((operation == "correct") & from_user)
 
 
 def resolve_names(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
@@ -104,9 +123,10 @@ def allowed_by_types(facts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def register_frames(frames: DataFrame, new: DataFrame) -> DataFrame:
-    """Frames (``group_id, canonical_name, aliases``) with new ones over those of the same group and name."""
-    kept = frames.join(new.select("group_id", "canonical_name"), ["group_id", "canonical_name"], "left_anti")
-    return kept.select("group_id", "canonical_name", "aliases").unionByName(new.select("group_id", "canonical_name", "aliases").dropDuplicates(["group_id", "canonical_name"]))
+    """Frames with new ones over those of the same group and name; all columns of ``frames`` stay, those ``new`` lacks are null."""
+    kept = frames.join(new.select("group_id", "canonical_name"), ["group_id", "canonical_name"], "left_anti").select(*frames.columns)
+    fresh = new.dropDuplicates(["group_id", "canonical_name"])
+    return kept.unionByName(fresh.select(*[F.col(f.name) if f.name in fresh.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in frames.schema]))
 
 
 def merge_frames(frames: DataFrame, into: str, other: str) -> DataFrame:

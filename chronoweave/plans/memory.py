@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.functions import extract
@@ -15,6 +15,11 @@ from chronoweave.sources import model
 DEPTH = {"fast": 10, "normal": 25, "deep": 50}
 
 
+def _slot(*parts: str) -> Column:
+    """A key that tells null parts and the borders of parts apart."""
+    return F.to_json(F.array(*[F.col(p).cast("string") for p in parts]))
+
+
 @dataclass
 class MemoryGraph:
     """Tables of one graph. ``now`` is a parameter everywhere, so a read gives the same rows when it is repeated."""
@@ -118,7 +123,7 @@ class MemoryGraph:
         touched = new.select("group_id", "subj", "canonical").distinct()
         log = self.facts.join(touched, ["group_id", "subj", "canonical"], "left_semi").select(cols).unionByName(new.select(cols))
         us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-        return state.replay(log.select(F.concat_ws("|", "group_id", "subj", "canonical").alias("slot"), us("created_at").alias("ord"), "obj", F.coalesce(us("valid_at"), us("created_at")).alias("start_us"), us("invalid_at").alias("end_us")))
+        return state.replay(log.select(_slot("group_id", "subj", "canonical").alias("slot"), us("created_at").alias("ord"), "obj", F.coalesce(us("valid_at"), us("created_at")).alias("start_us"), us("invalid_at").alias("end_us")))
 
     def remove_episodes(self, gone: DataFrame) -> DataFrame:
         return state.remove_episodes(self.facts, gone)
@@ -136,7 +141,7 @@ class MemoryGraph:
 
     def inspect(self) -> dict[str, DataFrame]:
         return {
-            "counts": graph.inspect_counts(self.facts), "orphan_entities": graph.orphan_entities(self.entities, self.facts), "orphan_episodes": graph.orphan_episodes(self.episodes, self.facts),
+            "counts": graph.inspect_counts(self.facts), "checks": graph.inspection(self.facts, self.entities, self.episodes, self.frames), "orphan_entities": graph.orphan_entities(self.entities, self.facts), "orphan_episodes": graph.orphan_episodes(self.episodes, self.facts),
             "duplicates": graph.duplicate_candidates(self.entities), "conflicts": self.conflicts(),
         }
 

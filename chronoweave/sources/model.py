@@ -8,16 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from chronoweave.sources.tables import bare_key, load, trimmed
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """One row per key, the first by ``order``."""
-    at = Window.partitionBy(key).orderBy(*order)
+    """One row per key, the first by ``order`` and then by all its other columns, so equal tables give equal rows."""
+    rest = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, MapType) else F.col(c) for c in sorted(df.columns)])
+    at = Window.partitionBy(key).orderBy(*order, rest)
     return df.where(F.col(key).isNotNull()).withColumn("_row", F.row_number().over(at)).where("_row = 1").drop("_row")
 
 
+def optional(df: DataFrame, column: str, default: Column) -> Column:
+    """A column that a table may lack; null and a missing column give the default."""
+    return (F.coalesce(F.col(column), default) if column in df.columns else default).alias(column)
+
+
 def text_or(c: str, default: str) -> Column:
     """A text column; blank and null give the default."""
     v = trimmed(F.col(c))
@@ -36,6 +43,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         text_or("source_type", "user").alias("source_type"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("singleton", F.lit(False)).alias("singleton"),
         F.when(F.lower(text_or("canonical_name", "")) != "", F.lower(text_or("canonical_name", ""))).otherwise(pred).alias("canonical"), "qualifiers",
         F.coalesce("reinforcement_count", F.lit(1)).alias("reinforcement_count"), F.coalesce("recall_count", F.lit(0)).alias("recall_count"), text_or("stability", "episodic").alias("stability"),
+        optional(rows, "memory_class", F.lit("objective")), optional(rows, "is_belief", F.lit(False)), optional(rows, "domain", F.lit("")),
     )
 
 
@@ -45,7 +53,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "uuid", "group_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("labels", F.array(F.lit("Entity"))).alias("labels"), "name_embedding",
         F.col("created_at").cast("timestamp").alias("created_at"), "canonical_name", F.coalesce("aliases", empty).alias("aliases"), F.coalesce("salience", F.lit(0.0)).alias("salience"),
-        F.coalesce("mention_count", F.lit(0)).alias("mention_count"), F.col("last_seen_at").cast("timestamp").alias("last_seen_at"),
+        F.coalesce("mention_count", F.lit(0)).alias("mention_count"), F.col("last_seen_at").cast("timestamp").alias("last_seen_at"), optional(rows, "domain", F.lit("")),
     )
 
 
@@ -54,7 +62,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.array().cast("array<string>")
     return rows.select(
         "uuid", "group_id", "name", text_or("source", "message").alias("source"), "source_description", F.coalesce("content", F.lit("")).alias("content"), F.col("created_at").cast("timestamp").alias("created_at"),
-        F.coalesce("entity_edges", empty).alias("entity_edges"), F.coalesce("ingestion_complete", F.lit(False)).alias("ingestion_complete"), F.col("cognition_processed_at").cast("timestamp").alias("cognition_processed_at"),
+        F.coalesce("entity_edges", empty).alias("entity_edges"), F.coalesce("ingestion_complete", F.lit(False)).alias("ingestion_complete"), F.col("cognition_processed_at").cast("timestamp").alias("cognition_processed_at"), "affect", "interaction_pattern", "cognition_version",
     )
 
 
