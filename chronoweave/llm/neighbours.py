@@ -46,8 +46,8 @@ class MultiIndex:
     cell_rows: int = 24
     probes: int = 16
     recall: float = 0.95
-    checks: int = 256
-    task_rows: int = 12000
+    checks: int = 1024
+    task_rows: int = 48000
     task_queries: int = 50000
     oversample: int = 4
     rounds: int = 8
@@ -196,9 +196,10 @@ def route(grid: Grid, first: np.ndarray, last: np.ndarray, cuts: np.ndarray, pro
         mine = grid.block(own)
         salt = np.array([xxhash.xxh32_intdigest(h) for h in hs], np.int64)
         home = first[mine] + salt % (last[mine] - first[mine] + 1)
-        # Each vector once to every cut of its task.
-        copies = cuts[home]
-        ei = np.repeat(np.arange(len(hs)), copies)
+        # Each vector once to every cut of its task; if it asks and its task has one cut, its own visit there brings it along.
+        alone = np.flatnonzero(~asks | (cuts[home] > 1))
+        copies = cuts[home[alone]]
+        ei = np.repeat(alone, copies)
         cut_of = np.arange(len(ei)) - np.repeat(np.cumsum(copies) - copies, copies)
         yield pa.RecordBatch.from_arrays([
             pa.array(home[ei].astype("i4")), pa.array(cut_of.astype("i4")), pa.array([hs[i] for i in ei], pa.binary()), vs.take(pa.array(ei)).cast(pa.binary()), pa.array(own[ei].astype("i4")), pa.array([b""] * len(ei), pa.binary()),
@@ -207,6 +208,8 @@ def route(grid: Grid, first: np.ndarray, last: np.ndarray, cuts: np.ndarray, pro
         if not len(ask):
             return
         cells = visit(d1[ask], d2[ask], probes)
+        unseen = ~(cells == own[ask][:, None]).any(axis=1)  # of equally near centroids another one may come first
+        cells[unseen, -1] = own[ask][unseen]
         blocks = grid.block(cells)
         # (query, task, cell) of all visits; blocks over several tasks are visited in each.
         width = last[blocks] - first[blocks] + 1
@@ -221,7 +224,7 @@ def route(grid: Grid, first: np.ndarray, last: np.ndarray, cuts: np.ndarray, pro
         qs, ts = qi[start], task[start]
         yield pa.RecordBatch.from_arrays([
             pa.array(ts.astype("i4")), pa.array((salt[qs] // 7919 % cuts[ts]).astype("i4")), pa.array([hs[i] for i in qs], pa.binary()), vs.take(pa.array(qs)).cast(pa.binary()),
-            pa.array(np.full(len(qs), -1, "i4")), pa.array([cell[a:b].tobytes() for a, b in zip(start, stops)], pa.binary()),
+            pa.array(np.where((ts == home[qs]) & (cuts[ts] == 1), own[qs], -1).astype("i4")), pa.array([cell[a:b].tobytes() for a, b in zip(start, stops)], pa.binary()),
         ], names=["task", "cut", "h", "v", "own", "cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +309,8 @@ def compare(k: int, floor: float | None, conf: MultiIndex):
         entries = np.flatnonzero(own >= 0)
         entries = entries[np.argsort(own[entries], kind="stable")]
         cells, start, n = np.unique(own[entries], return_index=True, return_counts=True)
-        queries = np.flatnonzero(own < 0)
+        lengths = pc.binary_length(table["cells"]).to_numpy()
+        queries = np.flatnonzero(lengths > 0)
         lists = [np.frombuffer(c, "<i4") for c in table["cells"].take(pa.array(queries)).to_pylist()]
         qi = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
         qc = np.concatenate(lists) if lists else np.empty(0, "i4")
@@ -400,7 +404,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, floor: float |
     for r in classes.select("v", "asks").mapInArrow(count_blocks(grid, probes, conf.dim), "block int, held long, seen long").groupBy("block").agg(F.sum("held").alias("held"), F.sum("seen").alias("seen")).collect():
         held[r.block], seen[r.block] = r.held, r.seen  # at most one row a block
     ends = np.cumsum(held)
-    per_task = min(conf.task_rows, max(500, n // (2 * spark.sparkContext.defaultParallelism)))
+    per_task = min(conf.task_rows, max(500, -(-n // spark.sparkContext.defaultParallelism)))  # fewer tasks, fewer copies of a query
     first = (ends - held) // per_task
     last = np.maximum(first, (ends - 1) // per_task)
     visits = np.zeros(last.max() + 1, np.int64)  # at most so many queries a task; one that visits two of its blocks counts twice

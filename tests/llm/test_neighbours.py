@@ -102,3 +102,11 @@ def test_place_counts_the_cells_before():
     d1, d2 = rng.random((10, 9)), rng.random((10, 7))
     cells = visit(d1, d2, 30)
     assert (place(d1, d2, cells[:, 20]) == 20).all()
+
+
+def test_equal_halves_lose_no_vector(spark):
+    rng = np.random.default_rng(9)
+    x = np.hstack([np.repeat(rng.normal(size=(3, 32)), 200, axis=0), rng.normal(size=(600, 32)) * 0.3])  # few different first halves, so centroids coincide
+    rows = [(f"{i:03d}", v) for i, v in enumerate(x)]
+    got = {r.query for r in run(spark, rows, k=2, conf=MultiIndex(recall=1.0))}
+    assert len(got) == 600 and len({r.query for r in run(spark, rows, k=2)}) == 600
