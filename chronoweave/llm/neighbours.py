@@ -48,7 +48,7 @@ class MultiIndex:
     recall: float = 0.95
     checks: int = 1024
     task_rows: int = 48000
-    task_queries: int = 50000
+    task_queries: int = 200000
     oversample: int = 4
     rounds: int = 8
 
@@ -270,22 +270,20 @@ def _top(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tupl
     return q[keep], v[keep], sim[keep]
 
 
-def needed_probes(classes: DataFrame, grid: Grid, k: int, floor: float | None, everyone: bool, conf: MultiIndex) -> int:
-    """Cells that a query has to visit so that ``conf.recall`` of the true neighbours are met, measured on ``conf.checks``
-    queries against all vectors. If everyone asks, a pair is met from either side."""
+def needed_probes(classes: DataFrame, asking: np.ndarray, grid: Grid, k: int, floor: float | None, everyone: bool, conf: MultiIndex) -> int:
+    """Cells that a query has to visit so that ``conf.recall`` of the true neighbours are met, measured on the queries
+    ``asking`` against all vectors. If everyone asks, a pair is met from either side."""
     cells = grid.rows * grid.cols
     if conf.recall >= 1:
         return cells
-    asking = classes.where("asks").orderBy(F.xxhash64("h")).select("v").limit(conf.checks).collect()
-    if not asking:
+    if not len(asking):
         return min(cells, conf.probes)
-    x = np.frombuffer(b"".join(bytes(r.v) for r in asking), "<f4").reshape(-1, conf.dim)
-    near = classes.select("v").mapInArrow(scan(x, k, floor, conf.dim), "q int, v binary, sim double")
+    near = classes.select("v").mapInArrow(scan(asking, k, floor, conf.dim), "q int, v binary, sim double")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= k).collect()  # at most checks * k rows
     if not near:
         return min(cells, conf.probes)
     e = np.frombuffer(b"".join(bytes(r.v) for r in near), "<f4").reshape(-1, conf.dim)
-    q = x[[r.q for r in near]]
+    q = asking[[r.q for r in near]]
     own = lambda d: d[0].argmin(1) * grid.cols + d[1].argmin(1)
     dq, de = _halves(q, grid.books), _halves(e, grid.books)
     at = place(*dq, own(de))
@@ -398,7 +396,9 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, floor: float |
     x = np.frombuffer(b"".join(bytes(r.v) for r in sample), "<f4").reshape(-1, conf.dim)
     half = conf.dim // 2
     grid = Grid((train(x[:, :half], size, conf.rounds), train(x[:, half:], size, conf.rounds)))
-    probes = needed_probes(classes, grid, k, floor, asks is None, conf)
+    asking_v = classes.where("asks").orderBy(F.xxhash64("h")).select("v").limit(conf.checks).collect()
+    asking_v = np.frombuffer(b"".join(bytes(r.v) for r in asking_v), "<f4").reshape(-1, conf.dim)
+    probes = needed_probes(classes, asking_v, grid, k, floor, asks is None, conf)
     held = np.zeros(grid.side[0] * grid.side[1], np.int64)
     seen = held.copy()
     for r in classes.select("v", "asks").mapInArrow(count_blocks(grid, probes, conf.dim), "block int, held long, seen long").groupBy("block").agg(F.sum("held").alias("held"), F.sum("seen").alias("seen")).collect():
@@ -407,11 +407,15 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, floor: float |
     per_task = min(conf.task_rows, max(500, -(-n // spark.sparkContext.defaultParallelism)))  # fewer tasks, fewer copies of a query
     first = (ends - held) // per_task
     last = np.maximum(first, (ends - 1) // per_task)
-    visits = np.zeros(last.max() + 1, np.int64)  # at most so many queries a task; one that visits two of its blocks counts twice
+    visits = np.zeros(last.max() + 1)
     np.add.at(visits, first, seen)
     for b in np.flatnonzero(last > first):
         visits[first[b] + 1 : last[b] + 1] += seen[b]
-    cuts = np.maximum(1, -(-visits // conf.task_queries))
+    # A query reaches a task once whatever blocks it visits there; the same queries tell how often that is.
+    if len(asking_v):
+        blocks = [np.unique(x) for x in grid.block(visit(*_halves(asking_v[:128], grid.books), probes))]
+        visits *= sum(len(np.unique(first[x])) for x in blocks) / sum(map(len, blocks))
+    cuts = np.maximum(1, np.ceil(visits / conf.task_queries)).astype(np.int64)
     routed = classes.select("h", "v", "asks").mapInArrow(route(grid, first, last, cuts, probes, conf), _ROUTED)
     directed = scratch.save(routed.groupBy("task", "cut").applyInArrow(compare(k, floor, conf), _FOUND))
     # A visit in either direction serves both records.
