@@ -66,3 +66,13 @@ def test_resource_owner_and_links(spark):
     facts = spark.createDataFrame([("f1", "e2", "e9", ["p1", "p1"]), ("f2", "e8", None, ["p2"])], "uuid string, subj string, obj string, episodes array<string>")
     got = {(r.resource, r.relation, r.target) for r in X.resource_links(res, eps, facts, owners).collect()}
     assert got == {("r1", "owner", "e2"), ("r1", "consulted_in", "p1"), ("r1", "supports", "e9")}
+
+
+def test_consolidation_by_fact_key(spark):
+    kinds = "group_id string, fact_key string, uuid string, confidence double, status string, stability string, episodes array<string>"
+    rows = [("g", "k", "f2", 0.6, "active", "episodic", [f"p{i}" for i in range(6)]), ("g", "k", "f1", 0.6, "active", "episodic", [f"p{i}" for i in range(4, 8)] + ["gone"]), ("g", "k", "f0", 0.9, "superseded", "episodic", ["p9"])]
+    rows += [("g", "", "f3", 0.6, "active", "episodic", [f"p{i}" for i in range(9)]), ("g", "short", "f4", 0.6, "active", "episodic", ["p0"] * 9), ("g", "done", "f5", 0.6, "active", "consolidated", [f"p{i}" for i in range(9)])]
+    eps = spark.createDataFrame([(f"p{i}", datetime(2024, 1, 1 + 2 * i)) for i in range(10)], "uuid string, created_at timestamp")
+    got = C.consolidation(spark.createDataFrame(rows, kinds), eps).collect()
+    assert [tuple(r) for r in got] == [("g", "k", 2, 9, 0.7, "f1")]
+    assert C.consolidation(spark.createDataFrame(rows, kinds), eps, days=15).collect() == []
