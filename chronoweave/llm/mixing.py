@@ -2,15 +2,16 @@
 
 A classifier learned from the labelled table gives each text a posterior over the target domains: naive Bayes over hashed
 words with counts over all texts, each text scored without its own counts. How much the words say is calibrated: the power of
-the likelihood is the one of least log loss on a bounded sample, down to none at all where words do not tell the
+the likelihood is the one of least log loss over all texts, down to none at all where words do not tell the
 domains apart, so a posterior is never surer than it is right. It is multiplied by the chance that a text of a domain
 carries the label it has.
 
 Document rates then solve a nonnegative least-squares problem: expected tokens of every domain should equal its part
-of the total, rates stay between 0 and the source's cap of repetitions. A document's gradient depends only on its posterior,
-so documents are summed to classes of equal label and nearly equal posteriors (a distributed pre-aggregation), and the
-projected gradient runs over the classes; there are at most ``Mix.classes`` of them. :func:`soft_report` shows what this fit
-reaches alone, in expectation and in real tokens per label.
+of the total, rates stay between 0 and the source's cap of repetitions. The gradient is projected lazily: the steps are summed
+up as one number a domain, and a document's rate is the equal rate less its posterior's product with these, put back between
+the bounds. So no document's rate is kept from round to round, and a round is one pass that sums over all documents, of
+whatever number, each with its own posterior. A step is scaled by the curvature of the documents that are not at a bound.
+:func:`soft_report` shows what this fit reaches alone, in expectation and in real tokens per label.
 
 Labels tell more than expectations where both exist, so the rates of a source are then scaled until its real tokens fit;
 copies are whole numbers by rounding with a hash of the id, shifted per source so that the whole copies reach the target too.
@@ -20,11 +21,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,14 +41,11 @@ _GRID = 257
 
 @dataclass(frozen=True)
 class Mix:
-    """``buckets`` of hashed words; ``mislabelled``: share of labels taken to be wrong; ``calibration``: most texts that
-    calibrate the classifier; ``classes``: most classes of posteriors; ``rounds`` of the projected gradient and of the scaling to
-    real tokens; ``tolerance``: relative residual at which they end."""
+    """``buckets`` of hashed words; ``mislabelled``: share of labels taken to be wrong; ``rounds`` of the projected gradient and
+    of the scaling to real tokens, at most; ``tolerance``: relative residual at which they end."""
 
     buckets: int = 4096
     mislabelled: float = 0.02
-    calibration: int = 2000
-    classes: int = 20000
     rounds: int = 500
     tolerance: float = 1e-4
     vocabulary: str = VOCABULARY
@@ -81,34 +81,82 @@ class Bayes:
         return out
 
     def log_posterior(self, bag: np.ndarray, label: int, power: float | None = None) -> np.ndarray:
-        score = self.log_prior + (self.power if power is None else power) * self.words(bag, label)
-        return score - score.max() - math.log(np.exp(score - score.max()).sum())
+        return self.log_posteriors(self.words(bag, label)[None], power)[0]
 
-    def calibrated(self, bags: list[tuple[np.ndarray, int]]) -> Bayes:
-        loss = {p: -sum(self.log_posterior(b, s, p)[s] for b, s in bags) for p in _POWERS}
-        self.power = min(_POWERS, key=lambda p: (loss[p], p))
+    def log_posteriors(self, words: np.ndarray, power: float | None = None) -> np.ndarray:
+        """Of texts (rows) with the log likelihoods that :meth:`words` gives."""
+        score = self.log_prior + (self.power if power is None else power) * words
+        score = score - score.max(axis=1, keepdims=True)
+        return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
+
+    def losses(self, words: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Log loss of texts at each power."""
+        return np.array([-self.log_posteriors(words, p)[np.arange(len(labels)), labels].sum() for p in _POWERS])
+
+    def settled(self, losses: np.ndarray) -> Bayes:
+        """With the power of least loss, of equal ones the smallest."""
+        self.power = _POWERS[int(np.argmin(losses))]
         return self
 
+    def calibrated(self, bags: list[tuple[np.ndarray, int]]) -> Bayes:
+        return self.settled(self.losses(np.array([self.words(b, s) for b, s in bags]).reshape(-1, len(self.sums)), np.array([s for _, s in bags], int)))
 
-def project(p: np.ndarray, n: np.ndarray, cap: np.ndarray, goal: np.ndarray, rounds: int, tolerance: float) -> np.ndarray:
-    """Rates in [0, cap] of classes with ``n`` tokens and posteriors ``p`` whose expected tokens per domain are nearest to
-    ``goal``, by accelerated projected gradient on residuals relative to the whole."""
-    a = (p * n[:, None]) / max(goal.sum(), 1e-9)
-    want = goal / max(goal.sum(), 1e-9)
-    # In terms of r * sqrt(n) the steps of large and small classes are alike.
-    root = np.sqrt(np.maximum(n, 1e-9))
-    b = a / root[:, None]
-    reach = np.linalg.norm(b, 2) ** 2
-    x = np.clip(goal.sum() / max(n.sum(), 1e-9), 0, cap) * root
-    y, t = x, 1.0
+
+#: Lengths of a step that one pass tries.
+_STEPS = 0.25 ** np.arange(12)
+
+
+def rates(p: np.ndarray, start: np.ndarray, cap: np.ndarray, unit: float, pull: np.ndarray) -> np.ndarray:
+    """Rates in [0, cap] of documents with posteriors ``p`` after a ``pull`` of every domain."""
+    return np.clip(start - unit * (p @ pull), 0, cap)
+
+
+def sums(p: np.ndarray, n: np.ndarray, start: np.ndarray, cap: np.ndarray, unit: float, whole: float, pulls: np.ndarray) -> np.ndarray:
+    """What documents add to a round, a row for each of ``pulls``: the objective, the parts of ``whole`` that domains reach, and
+    how these change with the pull."""
+    out = []
+    low, high = (start - cap) / unit, start / unit
+    for pull in pulls:
+        u = p @ pull
+        r, within = rates(p, start, cap, unit, pull), np.clip(u, low, high)
+        moved = start * within - unit * within**2 / 2 + np.minimum(u - low, 0) * cap
+        free = p * (n * ((r > 0) & (r < cap)))[:, None]
+        out.append(np.concatenate([[-(n @ moved)], (n * r) @ p, (unit * free.T @ p).ravel()]) / whole)
+    return np.array(out)
+
+
+def lazy_projection(evaluate: Callable[[np.ndarray], np.ndarray], want: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pull of every domain at which the parts reached are nearest to ``want``, and these parts; ``evaluate`` gives :func:`sums`
+    over all documents. Of rates that fit about equally those near the equal rate are taken."""
+    k, weight = len(want), tolerance / 1000
+
+    def at(pulls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = evaluate(pulls)
+        return got[:, 0] + pulls @ want + weight / 2 * (pulls**2).sum(axis=1), got[:, 1 : k + 1], got[:, k + 1 :].reshape(-1, k, k)
+
+    pull = np.zeros(k)
+    value, reached, curve = (x[0] for x in at(pull[None]))
     for _ in range(rounds):
-        new = np.clip(y - b @ (y @ b - want) / max(reach, 1e-30), 0, cap * root)
-        if np.abs(new @ b - want).max() <= tolerance / 10:
-            x = new
+        slope = weight * pull + want - reached
+        if min(np.abs(want - reached).max() * 10, np.abs(slope).max() * 1000) <= tolerance:
+            break
+        tried = pull - _STEPS[:, None] * np.linalg.solve(weight * np.eye(k) + curve, slope)
+        values, parts, curves = at(tried)
+        best = int(np.argmin(values))
+        if not values[best] < value:
             break
-        t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        x, y, t = new, new + (t - 1) / t_new * (new - x), t_new
-    return x / root
+        pull, value, reached, curve = tried[best], values[best], parts[best], curves[best]
+    return pull, reached
+
+
+def project(p: np.ndarray, n: np.ndarray, cap: np.ndarray, goal: np.ndarray, rounds: int, tolerance: float) -> np.ndarray:
+    """Rates in [0, cap] of documents with ``n`` tokens and posteriors ``p`` whose expected tokens per domain are nearest to
+    ``goal``, by lazily projected gradient on residuals relative to the whole."""
+    whole = max(float(goal.sum()), 1e-9)
+    unit = whole / max(float(n.sum()), 1e-9)
+    start = np.clip(unit, 0, cap)
+    pull, _ = lazy_projection(lambda pulls: sums(p, n, start, cap, unit, whole, pulls), goal / whole, rounds, tolerance)
+    return rates(p, start, cap, unit, pull)
 
 
 def largest_total(tokens: np.ndarray, share: np.ndarray, caps: np.ndarray) -> float:
@@ -119,17 +167,38 @@ def largest_total(tokens: np.ndarray, share: np.ndarray, caps: np.ndarray) -> fl
 
 @dataclass
 class _Fit:
-    """What the documents and targets say: the table of sized documents and the classes of posteriors with their rates."""
+    """What the documents and targets say: the table of sized documents, their rate as a function of label and posterior,
+    and the tokens that the soft fit expects and really has per domain."""
 
     docs: DataFrame
     names: list[str]
     share: np.ndarray
     caps: np.ndarray
     goal: np.ndarray
-    classes: pd.DataFrame
-    p: np.ndarray
-    soft: np.ndarray
-    rate: np.ndarray
+    rate: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    expected: np.ndarray
+    real: np.ndarray
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
+def _added(df: DataFrame, columns: list[str], one: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """Sums over all rows of an array that ``one`` gives for some."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                total += one(batch)
+        yield pa.RecordBatch.from_pydict({"i": np.arange(total.size, dtype="i4"), "x": total.ravel()})
+
+    out = np.zeros(shape)
+    for r in df.select(*columns).mapInArrow(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out.flat[r.i] = r.x
+    return out
 
 
 def _fit(documents: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, total: float | None, conf: Mix) -> _Fit | None:
@@ -158,54 +227,80 @@ def _fit(documents: DataFrame, targets: DataFrame, id_col: str, text_col: str, s
     counts = np.zeros((k, conf.buckets + 1))
     for r in rows.mapInPandas(word_counts, "s int, b int, n long").groupBy("s", "b").agg(F.sum("n").alias("n")).collect():
         counts[r.s, r.b] = r.n  # at most domains x buckets rows
-    every = max(1, int(counts[:, -1].sum()) // conf.calibration)
-    known: dict[str, int] = {}
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("source", "text").limit(2 * conf.calibration).collect()
-    bayes = Bayes(counts[:, :-1], counts[:, -1]).calibrated([(_bag(r.text, conf.buckets, known), number[r.source]) for r in some])
+    bayes = Bayes(counts[:, :-1], counts[:, -1])
     label = np.log(np.full((k, k), conf.mislabelled / max(1, k - 1)) + np.eye(k) * (1 - conf.mislabelled - conf.mislabelled / max(1, k - 1)))
 
-    def posteriors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def likelihoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         encode = encoder(conf.vocabulary).encode_ordinary
         for pdf in batches:
-            out = []
-            for source, text in zip(pdf["source"], pdf["text"]):
-                score = bayes.log_posterior(_bag(text, conf.buckets, known), number[source]) + label[number[source]]
-                p = np.exp(score - score.max())
-                out.append((p / p.sum()).astype("f4").tolist())
-            yield pdf[["doc_id", "source"]].assign(n_tokens=[len(encode(t)) for t in pdf["text"]], p=out)
-
-    sized = rows.mapInPandas(posteriors, f"doc_id {id_type}, source string, n_tokens long, p array<float>")
-    docs = sized.groupBy("doc_id").agg(F.min_by(F.struct("source", "n_tokens", "p"), F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.*").where("n_tokens > 0")
-    docs = scratch.save(docs)
-    # Classes of posteriors on a grid of logarithms, coarser until they are few enough for the driver.
-    for step in (4.0, 1.0, 0.25, 0.0):
-        grid = F.hash(F.transform("p", lambda x: F.round(F.log(F.greatest(x, F.lit(1e-4))) * step)))
-        by_class = docs.groupBy("source", grid.alias("class")).agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"p{i}") for i in range(k)])
-        found = by_class.limit(conf.classes + 1).toPandas()
-        if len(found) <= conf.classes or not step:
-            break
-    if not len(found):
-        return None
-    n, p, s = found["n"].to_numpy(float), found[[f"p{i}" for i in range(k)]].to_numpy(float), found["source"].map(number).to_numpy(int)
-    p = p / np.maximum(n, 1e-9)[:, None]
-    tokens = np.bincount(s, n, minlength=k)
+            words = [bayes.words(_bag(text, conf.buckets, known), number[source]).tolist() for source, text in zip(pdf["source"], pdf["text"])]
+            yield pdf[["doc_id", "source"]].assign(n_tokens=[len(encode(t)) for t in pdf["text"]], words=words)
+
+    sized = rows.mapInPandas(likelihoods, f"doc_id {id_type}, source string, n_tokens long, words array<double>")
+    told = scratch.save(sized.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens", "words")).alias("d")).select("doc_id", "d.*").where("n_tokens > 0"))
+    labels = lambda batch: pc.index_in(batch["source"], pa.array(names, batch["source"].type)).to_numpy().astype(int)
+    bayes.settled(_added(told, ["source", "words"], lambda batch: bayes.losses(_matrix(batch["words"]), labels(batch)), (len(_POWERS),)))
+
+    def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = bayes.log_posteriors(_matrix(batch["words"])) + label[labels(batch)]
+                p = np.exp(score - score.max(axis=1, keepdims=True))
+                p = pa.ListArray.from_arrays(np.arange(0, p.size + 1, k, dtype="i4"), (p / p.sum(axis=1, keepdims=True)).ravel())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], batch["n_tokens"], p], ["doc_id", "source", "n_tokens", "p"])
+
+    docs = scratch.save(told.mapInArrow(posteriors, f"doc_id {id_type}, source string, n_tokens long, p array<double>"))
+    scratch.drop(told)
+    tokens = np.zeros(k)
+    for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect():
+        tokens[number[r.source]] = r.n
     share = np.array([w[1] for w in wanted]) * (tokens > 0)
     caps = np.array([float(w[2]) for w in wanted])
     if not share.sum():
         return None
     share = share / share.sum()
     goal = share * (largest_total(tokens, share, caps) if total is None else float(total))
-    cap = np.where(share > 0, caps, 0.0)[s]
-    soft = project(p, n, cap, goal, conf.rounds, conf.tolerance)
-    rate = soft
+    cap = np.where(share > 0, caps, 0.0)
+    whole = max(float(goal.sum()), 1e-9)
+    unit = whole / tokens.sum()
+    start = np.clip(unit, 0, cap)
+
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return labels(batch), _matrix(batch["p"]), batch["n_tokens"].to_numpy().astype(float)
+
+    def evaluate(pulls: np.ndarray) -> np.ndarray:
+        def one(batch: pa.RecordBatch) -> np.ndarray:
+            s, p, n = of(batch)
+            return sums(p, n, start[s], cap[s], unit, whole, pulls)
+
+        return _added(docs, ["source", "n_tokens", "p"], one, (len(pulls), 1 + k + k * k))
+
+    pull, reached = lazy_projection(evaluate, goal / whole, conf.rounds, conf.tolerance)
+    equal, times, real = np.zeros(k, bool), np.ones(k), None
+
+    def rate(s: np.ndarray, p: np.ndarray) -> np.ndarray:
+        soft = np.where(equal[s], (goal / np.maximum(tokens, 1e-9))[s], rates(p, start[s], cap[s], unit, pull))
+        return np.clip(times[s] * soft, 0, cap[s])
+
+    def scaled(batch: pa.RecordBatch) -> np.ndarray:
+        s, p, n = of(batch)
+        r = rate(s, p)
+        return np.array([np.bincount(s, n * r, minlength=k), np.bincount(s, n * r * (r < cap[s]), minlength=k)])
+
     for _ in range(conf.rounds):
-        now = np.bincount(s, n * rate, minlength=k)
-        if np.abs(goal - now).max() <= conf.tolerance / 100 * goal.sum():
+        now, free = _added(docs, ["source", "n_tokens", "p"], scaled, (2, k))
+        real = now if real is None else real
+        far = np.abs(goal - now) > conf.tolerance / 100 * goal.sum()
+        # A source without any rate left, or with too few to reach its part, starts again from equal rates.
+        again = far & ~equal & (now < goal) & (free <= 0)
+        moves = far & (now > 0) & ((now > goal) | (free > 0))
+        if not (again | moves).any():
             break
-        # A source without any rate left starts again from equal rates.
-        rate = np.clip(np.where(now[s] > 0, rate * (goal / np.maximum(now, 1e-9))[s], (goal / np.maximum(tokens, 1e-9))[s]), 0, cap)
-    return _Fit(docs.withColumn("class", grid), names, share, caps, goal, found[["source", "class"]], p * n[:, None], soft, rate)
+        # A source's tokens are a concave function of the factor, so these steps never pass its part from below.
+        step = np.where(now > goal, goal / np.maximum(now, 1e-9), 1 + (goal - now) / np.maximum(free, 1e-9))
+        times, equal = np.where(again, 1.0, np.where(moves, times * step, times)), equal | again
+    return _Fit(docs, names, share, caps, goal, rate, reached * whole, real)
 
 
 def mix_documents(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: float | None = None, conf: Mix = Mix()) -> DataFrame:
@@ -223,13 +318,13 @@ def mix_documents(documents: DataFrame, targets: DataFrame, id_col: str = "doc_i
     fit = _fit(documents, targets, id_col, text_col, source_col, total, conf)
     if fit is None:
         return documents.sparkSession.createDataFrame([], used)
+    rate = fit.rate
     k, number = len(fit.names), {s: i for i, s in enumerate(fit.names)}
     cap_of = {s: (fit.caps[i] if fit.share[i] > 0 else 0.0) for s, i in number.items()}
-    rate_of = {(s, c): r for s, c, r in zip(fit.classes["source"], fit.classes["class"], fit.rate)}
 
     def copies(pdf: pd.DataFrame, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates, and whole copies for each shift (a column each); more shift, never fewer copies."""
-        r = np.array([rate_of[x] for x in zip(pdf["source"], pdf["class"])])
+        r = rate(pdf["source"].map(number).to_numpy(int), np.stack(pdf["p"]))
         u = np.array([xxhash.xxh3_64_intdigest(str(d)) / 2**64 for d in pdf["doc_id"]])
         cap = pdf["source"].map(cap_of).to_numpy(float)
         return r, np.clip(np.floor((r + u)[:, None] + shift[pdf["source"].map(number).to_numpy(int)]), 0, np.where(r > 0, cap, 0)[:, None])
@@ -247,7 +342,7 @@ def mix_documents(documents: DataFrame, targets: DataFrame, id_col: str = "doc_i
         yield pd.DataFrame({"s": s.ravel(), "g": g.ravel(), "n": got.ravel()})
 
     got = np.zeros((k, _GRID))
-    for row in fit.docs.drop("p").mapInPandas(rounded, "s int, g int, n double").groupBy("s", "g").agg(F.sum("n").alias("n")).collect():
+    for row in fit.docs.mapInPandas(rounded, "s int, g int, n double").groupBy("s", "g").agg(F.sum("n").alias("n")).collect():
         got[row.s, row.g] = row.n
     shift = grid[np.arange(k), np.abs(got - fit.goal[:, None]).argmin(1)][:, None]
 
@@ -258,7 +353,7 @@ def mix_documents(documents: DataFrame, targets: DataFrame, id_col: str = "doc_i
                 out = pdf[["doc_id", "source", "n_tokens"]].assign(rate=r, copies=whole[:, 0].astype("i4"))
                 yield out[out["copies"] > 0]
 
-    return fit.docs.drop("p").mapInPandas(finish, used)
+    return fit.docs.mapInPandas(finish, used)
 
 
 def soft_report(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: float | None = None, conf: Mix = Mix()) -> DataFrame:
@@ -270,10 +365,7 @@ def soft_report(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id"
     fit = _fit(documents, targets, id_col, text_col, source_col, total, conf)
     if fit is None:
         return documents.sparkSession.createDataFrame([], kinds)
-    number = {s: i for i, s in enumerate(fit.names)}
-    expected = fit.soft @ fit.p
-    real = np.bincount(fit.classes["source"].map(number), fit.soft * fit.p.sum(axis=1), minlength=len(number))
-    return documents.sparkSession.createDataFrame([(s, float(fit.share[i]), float(expected[i] / expected.sum()), float(real[i] / real.sum())) for s, i in number.items()], kinds)
+    return documents.sparkSession.createDataFrame([(s, float(fit.share[i]), float(fit.expected[i] / fit.expected.sum()), float(fit.real[i] / fit.real.sum())) for i, s in enumerate(fit.names)], kinds)
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -93,3 +93,26 @@ def test_soft_report(spark):
     rows = {r.source: r for r in mixing.soft_report(frame(spark), targets).collect()}
     assert rows["none"].wanted_share == 0 and all(abs(rows[s].expected_share - rows[s].wanted_share) < 0.02 for s in "abc")
     assert mixing.soft_report(frame(spark), targets.limit(0)).collect() == []
+
+
+def test_every_document_has_the_rate_of_its_own_posterior(spark):
+    rng = np.random.default_rng(8)
+    source = rng.integers(0, 3, 24_000)
+    words = rng.integers(0, 300, (len(source), 12)) + 60 * source[:, None] * (rng.random((len(source), 12)) < 0.2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{w}" for w in row), "abc"[s]) for i, (row, s) in enumerate(zip(words.tolist(), source))], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.4, 6), ("b", 0.3, 6), ("c", 0.3, 6)], "source string, target_share double, max_repeats long")
+    n = docs.count() * 12 * 6.0
+    mixed = mixing.mix_documents(docs, targets, total=n).toPandas()
+    tokens_of = (mixed["copies"] * mixed["n_tokens"]).groupby(mixed["source"]).sum()
+    assert len(mixed) > 23_000 and len(mixed.drop_duplicates(["source", "rate"])) > 20_000
+    assert all(abs(tokens_of[s] / n - t) < 0.01 for s, t in (("a", 0.4), ("b", 0.3), ("c", 0.3)))
+
+
+def test_unreachable_goals_are_met_as_nearly_as_bounds_allow():
+    rng = np.random.default_rng(9)
+    p, n, cap = rng.dirichlet(np.ones(4) * 0.3, 3000), rng.integers(1, 500, 3000).astype(float), rng.integers(0, 3, 3000).astype(float)
+    goal = np.array([0.9, 0.1, 0.0, 0.0]) * n.sum()
+    r = mixing.project(p, n, cap, goal, 500, 1e-4)
+    # At the least sum of squares a document below its cap pulls no nearer, nor does one above 0 push.
+    slope = p @ ((r * n) @ p - goal) / goal.sum()
+    assert (r >= 0).all() and (r <= cap).all() and (slope[r < cap] > -1e-4).all() and (slope[r > 0] < 1e-4).all()
